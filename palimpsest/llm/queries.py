@@ -27,6 +27,12 @@ def op1_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(spark, folder).select("doc_id", "start", "n_tokens", "ids_crc32", "n_chunks")
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=4, percent=80)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -34,7 +40,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_store, op8_packing)}
+    return {f.__name__: f for f in (op1_store, op3_near_duplicates, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
