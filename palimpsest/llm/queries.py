@@ -33,6 +33,13 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words_per_shingle=4, percent=80)
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import cut_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cut_repeats(docs, window=20).select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -40,7 +47,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_store, op3_near_duplicates, op8_packing)}
+    return {f.__name__: f for f in (op1_store, op3_near_duplicates, op4_substring, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,7 +22,7 @@ PLAIN = "^[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: What stands alone or ends a run of letters in such a word, in lower case (fixed by the vocabulary's word rule).
 BREAKS = "([0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+)"
 #: Distinct words that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 3_000_000
+REMEMBERED = 1_500_000
 
 
 def byte_alphabet() -> list[str]:
@@ -155,7 +155,7 @@ class Vocabulary:
         return out, sizes
 
 
-def slices(texts: pa.Array, most: int = 16 << 20) -> Iterable[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 8 << 20) -> Iterable[tuple[int, int]]:
     """Ranges of rows that hold at most ``most`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
