@@ -40,14 +40,39 @@ def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(docs, window=20).select("doc_id", "cut.n_words", "cut.n_removed", "cut.kept_sha256")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary_path(), CAPACITY, END_ID)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import fit_dictionaries, held_out, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dictionaries = fit_dictionaries(docs.where(~held_out()).select("lang", "text"))
+    rows = predict(docs.select("doc_id", "text"), dictionaries)
+    return rows.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def op10_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .attribution import section_tokens
+
+    return section_tokens(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_store, op3_near_duplicates, op4_substring, op8_packing)}
+    return {f.__name__: f for f in (op1_store, op3_near_duplicates, op4_substring, op5_bpe, op8_packing, op9_language, op10_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
