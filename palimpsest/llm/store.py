@@ -4,7 +4,8 @@ Layout below one folder, all Parquet:
 
 ``recipes``   a row per document in ascending id order: part, row, doc_id, start_in_part, n_tokens, the digests and
               lengths of its chunks, and a leaf digest over all of these. Rows lie in the files in that order.
-``chunks``    each distinct chunk once: digest and ids, little-endian and 2 or 4 bytes wide by the vocabulary's size.
+``objects``   ``kind=chunk`` holds each distinct chunk once: digest and ids, little-endian and 2 or 4 bytes wide by the
+              vocabulary's size; ``kind=recipe`` holds the recipes as they were made, before they were put in order.
 ``manifest``  a row per part: documents, ids, and the Merkle root over its leaves.
 
 A chunk ends where a rolling hash over the last 16 ids has its 9 top bits clear, after at least ``LEAST`` and at
@@ -16,7 +17,7 @@ and crc32; a document's crc32 is combined from those in recipe order, and leaves
 ``reconstruct`` joins the ids themselves.
 
 Defined results: a null or empty text is the end id alone; null ids come first, and rows of equal id follow each
-other by text; other columns are left out and may have any name; no rows give empty tables.
+other by the digest of their ids; other columns are left out and may have any name; no rows give empty tables.
 """
 
 from __future__ import annotations
@@ -36,7 +37,6 @@ from .staging import Staging, bound_arrow_batches, shuffle_partitions
 from .wordids import encode_texts, library_table, one_array, slices
 
 LEAST, MOST, WINDOW, CUT_BITS = 64, 4096, 16, 9
-ENCODED = "kind int, part int, row long, doc_id long, start_in_part long, n_tokens long, digests array<binary>, lengths array<int>, leaf binary, bodies array<struct<digest: binary, body: binary>>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -106,58 +106,93 @@ class MerkleRoot:
         return out
 
 
+RAW = "kind string, key binary, doc_id long, n_tokens long, digests array<binary>, lengths array<int>, body binary"
+_RAW = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("body", pa.binary())])
+RECIPES = "kind int, part int, row long, doc_id long, start_in_part long, n_tokens long, digests array<binary>, lengths array<int>, leaf binary"
+_RECIPES = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("leaf", pa.binary())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 def _encoder(vocabulary: str, end_id: int, width: str):
-    schema = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("leaf", pa.binary()), ("bodies", pa.list_(pa.struct([("digest", pa.binary()), ("body", pa.binary())])))])
+    """Recipe rows of documents, and chunk rows: each chunk once a task."""
 
     def encode(batches):
-        table, written, tree = library_table(vocabulary), set(), MerkleRoot()
-        part, row, start = None, 0, 0
+        table, written, step = library_table(vocabulary), set(), np.dtype(width).itemsize
         for batch in batches:
             texts, keys = one_array(batch.column(1)), batch.column(0).to_pylist()
-            part = batch.column(2)[0].as_py() if part is None and len(batch) else part
             for lo, hi in slices(texts):
                 ids, bounds = with_end(*encode_texts(texts.slice(lo, hi - lo), table), end_id)
-                raw, narrow = memoryview(ids.astype("<u4").tobytes()), memoryview(ids.astype(width).tobytes())
-                step, rows = np.dtype(width).itemsize, []
+                raw, narrow, rows = memoryview(ids.astype("<u4").tobytes()), memoryview(ids.astype(width).tobytes()), []
                 for key, edges in zip(keys[lo:hi], chunk_bounds(ids, bounds), strict=True):
-                    digests, bodies = [], []
-                    for a, b in zip(edges, edges[1:]):
-                        digests.append(d := hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest())
+                    digests = [hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest() for a, b in zip(edges, edges[1:])]
+                    for d, a, b in zip(digests, edges, edges[1:]):
                         if d not in written:
                             written.add(d)
-                            bodies.append({"digest": d, "body": bytes(narrow[step * a : step * b])})
-                    lengths, n = [b - a for a, b in zip(edges, edges[1:])], edges[-1] - edges[0]
-                    tree.add(leaf := leaf_digest(key, n, digests, lengths))
-                    rows.append((0, part, row, key, start, n, digests, lengths, leaf, bodies))
-                    row, start = row + 1, start + n
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-        if row:
-            last = (1, part, row, None, start, start, None, None, tree.root(), None)
-            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(last, schema, strict=True)], schema=schema)
+                            rows.append(("chunk", d, None, None, None, None, bytes(narrow[step * a : step * b])))
+                    name = hashlib.blake2b(b"".join(digests), digest_size=16).digest()
+                    rows.append(("recipe", name, key, edges[-1] - edges[0], digests, [b - a for a, b in zip(edges, edges[1:])], None))
+                yield _rows(rows, _RAW)
 
     return encode
 
 
+def _once(batches):
+    """Drops the chunks that an earlier row of the task has; recipes stay."""
+    seen = set()
+    for batch in batches:
+        keep = []
+        for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keep.append(kind == "recipe" or key not in seen)
+            if kind == "chunk":
+                seen.add(key)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
+def _numbered(batches):
+    """Recipes in order, with places and leaves; last, the part's manifest row (kind 1)."""
+    tree, part, row, start = MerkleRoot(), None, 0, 0
+    for batch in batches:
+        rows = []
+        for part, key, n, digests, lengths in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            tree.add(leaf := leaf_digest(key, n, digests, lengths))
+            rows.append((0, part, row, key, start, n, digests, lengths, leaf))
+            row, start = row + 1, start + n
+        yield _rows(rows, _RECIPES)
+    if row:
+        yield _rows([(1, part, row, None, start, start, None, None, tree.root())], _RECIPES)
+
+
 def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> None:
-    """Encode documents and write the store to ``folder``. ``wide``: 4 bytes an id, for vocabularies over 65,536."""
+    """Encode documents and write the store to ``folder``. ``wide``: 4 bytes an id, for vocabularies over 65,536.
+
+    Texts stay where they are read. Chunks move once, by digest, to the task that writes them; only recipes, some
+    30 bytes a chunk, are put in order.
+    """
     spark = docs.sparkSession
     bound_arrow_batches(spark)
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = max(shuffle_partitions(spark), 2)
-    ordered = chosen.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text"))
-    encoded = ordered.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(_encoder(vocabulary, end_id, "<u4" if wide else "<u2"), ENCODED)
     staging = Staging(spark, "store")
-    staged = staging.write(encoded, "encoded")
-    recipes = staged.where("kind = 0").select("part", "row", "doc_id", "start_in_part", "n_tokens", "digests", "lengths", "leaf")
-    recipes.write.mode("overwrite").parquet(f"{folder}/recipes")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    raw = chosen.mapInArrow(_encoder(vocabulary, end_id, "<u4" if wide else "<u2"), RAW).repartition("key").mapInArrow(_once, RAW)
+    raw.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/objects")
+    staging.release()
+    order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
+    unordered = spark.read.schema(RAW).parquet(f"{folder}/objects").where("kind = 'recipe'").select("doc_id", "key", "n_tokens", "digests", "lengths")
+    ordered = unordered.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    staged = staging.write(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "digests", "lengths").mapInArrow(_numbered, RECIPES), "numbered")
+    staged.where("kind = 0").drop("kind").write.mode("overwrite").parquet(f"{folder}/recipes")
     staged.where("kind = 1").select("part", F.col("row").alias("documents"), "n_tokens", F.col("leaf").alias("root")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
-    bodies = staged.where("kind = 0 and size(bodies) > 0").select(F.explode("bodies").alias("b")).select("b.digest", "b.body")
-    # a task wrote each of its chunks once, so a chunk has at most one row a part here
-    bodies.groupBy("digest").agg(F.first("body").alias("body")).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/chunks")
-    staging.drop("encoded")
+    staging.drop("numbered")
     staging.release()
 
 
+def _open(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = spark.read.schema(RAW).parquet(f"{folder}/objects").where("kind = 'chunk'").select(F.col("key").alias("digest"), "body")
+    return spark.read.parquet(f"{folder}/recipes"), chunks, spark.read.parquet(f"{folder}/manifest")
+
+
 #: x^k mod the reflected CRC-32 polynomial, as bit patterns (fixed values of the checksum).
 POLYNOMIAL = 0xEDB88320
 
@@ -197,7 +232,7 @@ def read_documents(spark: SparkSession, folder: str, wide: bool = False) -> Data
 
     A mismatch, a missing chunk or a missing row raises an error.
     """
-    recipes, chunks, manifest = (spark.read.parquet(f"{folder}/{x}") for x in ("recipes", "chunks", "manifest"))
+    recipes, chunks, manifest = _open(spark, folder)
     width = "<u4" if wide else "<u2"
 
     def checked(batches):
@@ -258,7 +293,7 @@ def verify_roots(spark: SparkSession, folder: str) -> DataFrame:
 
 def reconstruct(spark: SparkSession, folder: str, wide: bool = False) -> DataFrame:
     """The documents' ids themselves: part, row, doc_id, ids (binary, as stored)."""
-    recipes, chunks = (spark.read.parquet(f"{folder}/{x}") for x in ("recipes", "chunks"))
+    recipes, chunks, _ = _open(spark, folder)
     refs = recipes.select("part", "row", "doc_id", F.posexplode("digests").alias("pos", "digest"))
     whole = refs.join(chunks, "digest").groupBy("part", "row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "body"))).alias("bodies"))
 
