@@ -17,21 +17,19 @@ from .staging import Staging
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, smallest node that it reaches) for the links a-b, by union-find; nodes that are their own are left out."""
+    """(node, smallest node that it reaches) for the links a-b, by union-find
+    in rounds: all links join the trees of their ends at once, then paths are halved until flat; nodes that are their own are left out."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    parent = list(range(len(nodes)))
-    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist(), strict=True):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-    root = np.array(parent, dtype=np.int64)
-    while not np.array_equal(up := root[root], root):
-        root = up
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], least)
+        np.minimum.at(root, root[y], least)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        if np.array_equal(root[x], root[y]):
+            break
     below = root != np.arange(len(root))
     return nodes[below], nodes[root[below]]
 

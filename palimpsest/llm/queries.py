@@ -58,6 +58,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .matroska import media_digests, media_of_documents
 
@@ -90,7 +96,7 @@ def op10_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_store, op2_chat, op3_near_duplicates, op4_substring, op5_bpe, op7_matroska, op8_packing, op9_language, op10_attribution)}
+    return {f.__name__: f for f in (op1_store, op2_chat, op3_near_duplicates, op4_substring, op5_bpe, op6_embeddings, op7_matroska, op8_packing, op9_language, op10_attribution)}
 
 
 def oracle_sql() -> dict[str, str]:
