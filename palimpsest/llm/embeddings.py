@@ -205,9 +205,12 @@ def near_vectors(rows: DataFrame, least: float = 0.9, margin: float | None = Non
 
 def recall(found: DataFrame, rows: DataFrame, least: float = 0.9) -> float:
     """Found links over all links, by brute force on the driver: for small tables only."""
-    vectors = [(r[0], np.asarray(r[1], dtype=float)) for r in rows.select("vec_id", "embedding").collect() if r[1] and all(x is not None and math.isfinite(x) for x in r[1]) and any(r[1])]
-    if not vectors:
-        return 1.0
-    x = unit(np.stack([v for _, v in vectors]))
-    total = sum(int((x[k : k + 1024] @ x.T >= least).sum()) for k in range(0, len(x), 1024)) - len(x)
+    by_length: dict[int, list] = {}
+    for _, v in rows.select("vec_id", "embedding").collect():
+        if v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            by_length.setdefault(len(v), []).append(v)
+    total = 0
+    for held in by_length.values():
+        x = unit(np.array(held, dtype=float))
+        total += sum(int((x[k : k + 1024] @ x.T >= least).sum()) for k in range(0, len(x), 1024)) - len(x)
     return (found.groupBy().sum("n_links").first()[0] or 0) / total if total else 1.0

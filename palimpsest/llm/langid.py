@@ -96,8 +96,10 @@ def classify(text: str | None, made: list) -> tuple[str, float]:
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.0, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and struct ``language``: lang, score (0 to 1), rejected. No column may be named language."""
+    """All columns of ``docs`` and struct ``language``: lang, score (0 to 1), rejected. An input column of that name gives
+    way to the result."""
     bound_arrow_batches(docs.sparkSession)
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "language"))
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)  # bounded by languages times dictionary_bytes
     kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
     text_at = docs.columns.index(text_col)

@@ -30,7 +30,7 @@ from .wordids import one_array, slices
 # Element ids of the container format (fixed values).
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
@@ -82,7 +82,7 @@ def block(track: int, relative: int, frames: list[bytes], lacing: int, key: bool
 
 
 _HEAD = element(EBML, number(EBML_VERSION, 1) + number(EBML_READ_VERSION, 1) + number(EBML_MAX_ID, 4) + number(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + number(DOC_TYPE_VERSION, 4) + number(DOC_TYPE_READ_VERSION, 2))
-_TRACKS = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))))
+_TRACKS = element(TRACKS, element(TRACK_ENTRY, number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(FLAG_LACING, 1) + number(DEFAULT_DURATION, FRAME_MS * 1_000_000) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, element(SAMPLING_FREQUENCY, struct.pack(">d", RATE)) + number(CHANNELS, 1) + number(BIT_DEPTH, 8))))
 
 
 def write_samples(payload: bytes) -> bytes:
@@ -197,7 +197,9 @@ def parse(raw: bytes) -> Media:
         relative, flags = struct.unpack(">hB", raw[at : at + 3])
         frames = frame_bounds(raw, at + 3, b, flags >> 1 & 3)
         key = bool(flags & 0x80) if key_flag is None else key_flag
-        media.packets += [(track, base + relative, x, y, key) for x, y in frames]
+        # frames of one lace follow each other by their track's default duration
+        step = next((t["duration"] / media.scale for t in media.tracks if t["number"] == track), 0)
+        media.packets += [(track, base + relative + round(k * step), x, y, key) for k, (x, y) in enumerate(frames)]
 
     for key, _, a, b in children(raw, 0, len(raw)):
         if key == EBML:
@@ -213,10 +215,12 @@ def parse(raw: bytes) -> Media:
                 for k, _, p, q in children(raw, x, y):
                     if k != TRACK_ENTRY:
                         continue
-                    track = {"number": 0, "type": 0, "codec": "", "rate": 0.0, "channels": 1, "bits": 0}
+                    track = {"number": 0, "type": 0, "codec": "", "duration": 0, "rate": 0.0, "channels": 1, "bits": 0}
                     for f, _, s, t in children(raw, p, q):
                         if f in (TRACK_NUMBER, TRACK_TYPE):
                             track["number" if f == TRACK_NUMBER else "type"] = uint(s, t)
+                        elif f == DEFAULT_DURATION:
+                            track["duration"] = uint(s, t)
                         elif f == CODEC_ID:
                             track["codec"] = raw[s:t].decode()
                         elif f == AUDIO:

@@ -301,9 +301,10 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
     """All columns of ``docs``, then struct ``cut``: n_words, n_removed, kept_text (kept words joined by one space; the
     text as it is where nothing is removed) and kept_sha256 (of the kept words joined by one space).
 
-    ``docs`` must have no column named cut. Ids are taken as 64-bit numbers.
+    A column of ``docs`` that is named cut gives way to the result. Ids are taken as 64-bit numbers.
     """
     spark = docs.sparkSession
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != "cut"))
     staging = Staging(spark, "substring")
     marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("mark"))
     repeats = _united(repeated_windows(marked, window, staging)).select(F.col("doc_id").alias("__d"), F.col("mark").alias("__m"), F.col("places").alias("__places"))
