@@ -23,7 +23,7 @@ from ..sources.objects import ObjectStore
 from ..sources.tensorfile import METADATA, header_bytes, read_header, read_tensors
 
 COMMITS = "commit_id string, manifest_hash string, parent_ids array<string>, message string, author string, ts double"
-ENTRIES = "manifest_hash string, name string, dtype string, shape array<bigint>, start bigint, end bigint, is_delta boolean, blob_hash string, residual_hash string, perm_hash string, base_commit_id string, raw_bytes bigint, stored_bytes bigint"
+ENTRIES = "manifest_hash string, name string, dtype string, shape array<bigint>, start bigint, end bigint, is_delta boolean, blob_hash string, residual_hash string, perm_hash string, base_commit_id string, raw_bytes bigint, stored_bytes bigint, content_hash string"
 REFS = "name string, target string, seq bigint"
 
 
@@ -146,6 +146,7 @@ class Repository:
         else:
             entries = target.select("name", "dtype", "shape", F.lit(False).alias("is_delta"), F.col("data").alias("blob"), F.lit(None).cast("double").alias("energy"), F.octet_length("data").cast("long").alias("raw_bytes"))
             perms, facts = {}, []
+        contents = {r[0]: r[1] for r in target.select("name", F.sha2("data", 256)).collect()}  # no payload
         entries = entries.persist()
         self.objects.put(entries.select(F.col("blob").alias("data")))
         names = sorted(perms)
@@ -154,7 +155,7 @@ class Repository:
         for r in entries.select("name", "dtype", "shape", "is_delta", F.sha2("blob", 256).alias("hash"), "raw_bytes", F.octet_length("blob").cast("long").alias("stored")).collect():  # no payload
             a, b = header[r["name"]]["data_offsets"]
             delta = r["is_delta"]
-            rows.append((r["name"], r["dtype"], list(r["shape"]), a, b, delta, None if delta else r["hash"], r["hash"] if delta else None, perm_hashes.get(r["name"]) if delta else None, base_id if delta else None, r["raw_bytes"], r["stored"]))
+            rows.append((r["name"], r["dtype"], list(r["shape"]), a, b, delta, None if delta else r["hash"], r["hash"] if delta else None, perm_hashes.get(r["name"]) if delta else None, base_id if delta else None, r["raw_bytes"], r["stored"], contents[r["name"]]))
         stats = A.statistics(entries, facts)
         manifest_hash = self._store_manifest(sorted(rows), header.get(METADATA) or {}, head)
         self.journal.record_blob(tx, manifest_hash)
@@ -229,7 +230,8 @@ class Repository:
         return graph.common_ancestors(pair, graph.parent_edges(self.commits())).first()["ancestor"]
 
     def merge(self, source: str, message: str | None = None, author: str = "") -> tuple[str, str]:
-        """(status, commit) of merging a branch into the current one. Entries keep the base that their delta is against,
+        """(status, commit) of merging a branch into the current one. Tensors are equal if their type, shape and content are,
+        however they are stored. Entries keep the base that their delta is against,
         and places are laid out anew."""
         branch, head = self.head()
         other = self.branch_commit(source)
@@ -245,7 +247,7 @@ class Repository:
         fields = [n for n in names if n not in ("name", "start", "end")]
         side = lambda c: self.manifest(c)[1].select("name", F.struct(*fields).alias("entry"))
         base = side(ancestor) if ancestor else side(head).limit(0)
-        kept = merge.three_way(side(head), side(other), base).select("name", "entry.*").orderBy("name").collect()  # no payload
+        kept = merge.three_way(side(head), side(other), base, by=["dtype", "shape", "content_hash"]).select("name", "entry.*").orderBy("name").collect()  # no payload
         rows, at = [], 0
         for r in kept:
             place = {"start": at, "end": at + r["raw_bytes"]}
