@@ -28,6 +28,8 @@ from .wordids import one_array
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
+#: Shorter texts are repeated up to this size: blocks that hardly shrink would be stored as they are, and tie.
+LEAST_BYTES = 256
 #: Bounds of the fitted sample, of a dictionary and of a compressed block; the compression level.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 400, 6144, 32 << 10, 16 << 10, 7
 
@@ -89,6 +91,7 @@ def classify(text: str | None, made: list) -> tuple[str, float]:
     if not made or text is None or not LETTER.search(text):
         return UNDETERMINED, 0.0
     raw = plain_words(text).encode()
+    raw *= max(1, -(-LEAST_BYTES // len(raw)))
     sizes = [sum(len(c.compress(raw[i : i + BLOCK_BYTES])) for i in range(0, len(raw), BLOCK_BYTES)) for _, c in made]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     second = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best])
