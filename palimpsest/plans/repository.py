@@ -216,6 +216,13 @@ class Repository:
 
         return VirtualFile(read_at, total)
 
+    def listing(self, name: str | None = None) -> list[tuple[str, int]]:
+        """The files that stand for a commit, and their sizes."""
+        commit_id = self._resolve(name)
+        manifest_hash, own = self.manifest(commit_id)
+        total = len(self._header(commit_id)) + (own.agg(F.sum("raw_bytes")).first()[0] or 0)
+        return [("model", total), ("manifest.json", len(self.objects.get(manifest_hash))), ("commit_info.json", len(self.objects.get(commit_id)))]
+
     # history
 
     def log(self, start: str | None = None) -> DataFrame:

@@ -186,6 +186,27 @@ def test_repository(spark, tmp_path):
     assert repo.push(remote) > 0 and remote.branch_commit("main") == merged
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from palimpsest.__main__ import main
+
+    run = lambda *a: main(["-r", f"file://{tmp_path}/repo", *a], spark)
+    base = mlp()
+    first = write(tmp_path / "a", base)
+    assert run("init") == 0 and run("commit", first, "-m", "one") == 0
+    commit = capsys.readouterr().out.split()[0]
+    assert run("branch", "side") == 0 and run("branch") == 0
+    assert capsys.readouterr().out.split() == ["*", "main", "side"]
+    assert run("log") == 0 and "one" in capsys.readouterr().out
+    assert run("verify") == 0 and run("ls") == 0
+    assert f"{len(open(first, 'rb').read())} model" in capsys.readouterr().out
+    assert run("checkout", commit, "-o", str(tmp_path / "out")) == 0
+    assert (tmp_path / "out").read_bytes() == open(first, "rb").read()
+    (tmp_path / "c.json").write_text('{"d_in": 1}')
+    from palimpsest.operators.topology import read_config
+
+    assert read_config(spark, f"file://{tmp_path}/c.json") == {"d_in": 1} and read_config(spark, f"file://{tmp_path}/none") == {}
+
+
 def test_rebasin_command(spark, tmp_path):
     repo = Repository(spark, f"file://{tmp_path}/repo")
     base = mlp()
