@@ -8,15 +8,16 @@
 2. Equal sets are one class, stood for by its smallest document.
 3. Representatives that share a band key are candidates. A pair of similarity 0.8 shares none with a probability
    of 0.5904^32 < 5e-8, one of more with less.
-4. Candidate pairs are verified on the full sets, recomputed from the texts, and links are joined by union-find.
-   Only components are asked for, so not all pairs of a group are made: first each document is verified against
-   the pivot (smallest document of a bucket) with which it shares most bands; then against its other pivots in
-   other components; at last, in buckets that still hold several components, members outside the bucket's largest
-   component are verified against the members of other components. Pairs already in one component need no
-   verification, so no link between components is lost.
+4. Links are verified on the full sets, recomputed from the texts, and joined by union-find. Only components are
+   asked for, so the pairs of a group are never made. First each document is verified against one pivot: of the
+   smallest documents of its buckets, the one that shares most of them. Then documents that are candidates of each
+   other, directly or over others, form a group, and in each group that still holds several components, blocks of
+   documents are compared as sparse matrices of their shingles: a pair of blocks gives the full intersections of
+   all their pairs at once and passes on a spanning forest of the links between components. Blocks are filled
+   in the order of components, and two blocks of one and the same component are not compared.
 
-Pairs are dropped before verification only where the sizes alone exclude the similarity, or where the sketches
-agree in fewer bits than a pair of the wanted similarity does with a probability over 1e-8.
+A pivot is passed over only where the sizes alone exclude the similarity, or where the sketches agree in fewer
+bits than those of a similar pair do with a probability over 1e-8; the comparison in blocks passes nothing over.
 
 Defined results: a null text or one without words has an empty set and links with nothing, not even its like;
 equal rows come back as often as they stand in the input; of an id with several texts each row goes by its own
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest
 from .staging import Staging, bound_arrow_batches
 from .wordids import one_array, slices
 from .words import Words, mixed, shingles
@@ -172,6 +173,98 @@ def verified(pairs: DataFrame, docs: DataFrame, words_per_shingle: int, percent:
     return sides.mapInArrow(run, "a long, b long")
 
 
+#: Documents, and shingles, of a block at most; columns of a matrix.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 18, 8192
+BLOCKS = "grp long, low long, high long, block long, ids binary, roots binary, sizes binary, sets binary"
+
+
+def _blocks(words_per_shingle: int):
+    """Blocks of sets from rows (grp, root, doc_id, text) in that order."""
+    def row(held):
+        ids, roots = (np.array([h[i] for h in held], dtype="<i8") for i in (1, 2))
+        sizes = np.array([len(h[3]) for h in held], dtype="<i8")
+        # a block is named by its first document: a document stands in one block of its group
+        return (held[0][0], int(roots.min()), int(roots.max()), int(ids[0]), ids.tobytes(), roots.tobytes(), sizes.tobytes(), np.concatenate([h[3] for h in held]).astype("<u8").tobytes())
+
+    def batch_of(rows):
+        kinds = (pa.int64(),) * 4 + (pa.binary(),) * 4
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            texts, out = one_array(batch.column(3)), []
+            for lo, hi in slices(texts, 8 << 20):
+                elements, bounds = shingles(Words(texts.slice(lo, hi - lo), lower=True), words_per_shingle)
+                keys = zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(3)), strict=True)
+                for (group, root, key), a, b in zip(keys, bounds[:-1], bounds[1:], strict=True):
+                    if held and (group != held[0][0] or len(held) >= BLOCK or size + b - a > BLOCK_SHINGLES):
+                        out.append(row(held))
+                        held, size = [], 0
+                    held.append((group, key, root, elements[a:b]))
+                    size += int(b - a)
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of([row(held)])
+
+    return run
+
+
+def intersections(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all sets of one block with all of another; sets end to end."""
+    out = np.zeros((len(a_sizes), len(b_sizes)), dtype=np.float32)
+    common = np.intersect1d(a, b)
+    sides = []
+    for elements, sizes in ((a, a_sizes), (b, b_sizes)):
+        column = np.searchsorted(common, elements)
+        there = column < len(common)
+        there[there] = common[column[there]] == elements[there]
+        sides.append((np.repeat(np.arange(len(sizes)), sizes)[there], column[there]))
+    for lo in range(0, len(common), COLUMNS):
+        matrices = []
+        for (row, column), sizes in zip(sides, (a_sizes, b_sizes), strict=True):
+            chosen = (column >= lo) & (column < lo + COLUMNS)
+            matrix = np.zeros((len(sizes), min(COLUMNS, len(common) - lo)), dtype=np.float32)
+            matrix[row[chosen], column[chosen] - lo] = 1
+            matrices.append(matrix)
+        out += matrices[0] @ matrices[1].T
+    return out.astype(np.int64)
+
+
+def _compared(percent: int):
+    """Spanning forests of the links between different components in pairs of blocks."""
+    def run(batches):
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                ids, roots, sizes = ([np.frombuffer(row[k + i], dtype="<i8") for k in (0, 4)] for i in range(3))
+                sets = [np.frombuffer(row[k + 3], dtype="<u8") for k in (0, 4)]
+                both = intersections(sets[0], sizes[0], sets[1], sizes[1])
+                either = sizes[0][:, None] + sizes[1][None, :] - both
+                i, j = np.nonzero((both > 0) & (100 * both >= percent * either) & (roots[0][:, None] != roots[1][None, :]))
+                u, v = forest(ids[0][i], ids[1][j])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+
+    return run
+
+
+def links_between(members: DataFrame, texts: DataFrame, words_per_shingle: int, percent: int, staging: Staging) -> DataFrame:
+    """Links (a, b) between the components (root) within each group of ``members`` (grp, doc_id, root): enough of them to connect
+    whatever is linked."""
+    order = ["grp", "root", "doc_id"]
+    # a large group is dealt over several tasks by ranges of its components
+    rows = members.join(texts, "doc_id").select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = staging.write(lambda: rows.mapInArrow(_blocks(words_per_shingle), BLOCKS), "blocks")
+    names = blocks.select("grp", "block", "low", "high")
+    other = names.select("grp", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    met = names.join(other, "grp").where("block <= block_b and not (low = high and low_b = high_b and low = low_b)").select("grp", "block", "block_b")
+    payload = ["ids", "roots", "sizes", "sets"]
+    left = blocks.select("grp", "block", *payload)
+    right = blocks.select("grp", F.col("block").alias("block_b"), *(F.col(c).alias(f"{c}_b") for c in payload))
+    pairs = met.join(left, ["grp", "block"]).join(right, ["grp", "block_b"]).select(*payload, *(f"{c}_b" for c in payload))
+    return pairs.mapInArrow(_compared(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept (the smallest document of each group)."""
     spark = docs.sparkSession
@@ -180,16 +273,16 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     rows = staging.write(signatures(docs, words_per_shingle), "signatures")
     nodes = rows.where("doc_id is not null and n_shingles > 0")
     classes = nodes.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"))
-    members = staging.write(rows.join(classes, ["n_shingles", "d0", "d1"], "left").select("doc_id", "n_shingles", "rep", "s0", "s1", "keys"), "members")
+    members_of_classes = staging.write(rows.join(classes, ["n_shingles", "d0", "d1"], "left").select("doc_id", "n_shingles", "rep", "s0", "s1", "keys"), "members")
     staging.drop("signatures")
-    reps = members.where("doc_id = rep").select("doc_id", "n_shingles", "s0", "s1", "keys").dropDuplicates(["doc_id", "n_shingles", "s0", "s1"])
+    reps = members_of_classes.where("doc_id = rep").select("doc_id", "n_shingles", "s0", "s1", "keys").dropDuplicates(["doc_id", "n_shingles", "s0", "s1"])
     reps = staging.write(reps, "representatives")
     bands = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = staging.write(bands.join(shared.select("key", "pivot"), "key").select("key", "doc_id", "pivot"), "buckets")
 
     # the texts of all candidates, moved once
-    texts = staging.write(docs.join(buckets.select("doc_id").distinct(), "doc_id"), "texts")
+    texts = staging.write(lambda: docs.join(buckets.select("doc_id").distinct(), "doc_id"), "texts")
     facts = reps.select("doc_id", "n_shingles", "s0", "s1")
     agreement = least_agreement(percent / 100)
 
@@ -201,40 +294,23 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
         & (128 - F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))) - F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) >= agreement)
     )
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(possible).select(*pairs.columns)
-
     stars = buckets.where("doc_id <> pivot").groupBy(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    stars = staging.write(likely(stars), "stars")
-    best = stars.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    links = staging.write(verified(best, texts, words_per_shingle, percent), "links-1")
+    stars = staging.write(stars, "stars")
+    near = stars.join(side("a"), "a").join(side("b"), "b").where(possible)
+    best = near.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
+    links = staging.write(lambda: verified(best, texts, words_per_shingle, percent), "links-1")
     roots = staging.write(connected_components(links, staging, "first"), "roots-1")
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sides are in different components so far."""
-        joined = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        return joined.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-
-    rest = across(stars.select("a", "b").join(best, ["a", "b"], "left_anti"))
-    links = staging.write(links.unionAll(verified(rest, texts, words_per_shingle, percent)), "links-2")
+    groups = staging.write(connected_components(stars.select("a", "b"), staging, "groups"), "groups")
+
+    # groups that hold several components; one of two documents has been verified already
+    nodes = buckets.select("doc_id").distinct().join(groups, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("grp"))
+    placed = nodes.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "grp", F.coalesce("root", "doc_id").alias("root"))
+    several = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select("grp")
+    members = staging.write(placed.join(several, "grp"), "members-of-groups")
+    links = staging.write(lambda: links.unionAll(links_between(members, texts, words_per_shingle, percent, staging)), "links-2")
     roots = staging.write(connected_components(links, staging, "second"), "roots-2")
-
-    # buckets that still hold several components
-    placed = buckets.join(roots, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", (-F.col("root")).alias("root"))).alias("top"), F.count(F.lit(1)).alias("components")).where("components > 1").select("key", (-F.col("top.root")).alias("top"))
-    mixed_buckets = staging.write(placed.join(largest, "key").join(facts, "doc_id"), "mixed")
-
-    def seen(name: str) -> DataFrame:
-        return mixed_buckets.select("key", "top", F.col("doc_id").alias(name), F.col("root").alias(f"r{name}"), *(F.col(c).alias(f"{c}_{name}") for c in ("n_shingles", "s0", "s1")))
-
-    minor = seen("a").where("ra <> top").drop("top")
-    # of two members outside the largest component, each pair comes once
-    crossing = minor.join(seen("b"), "key").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("top")) | (F.col("a") > F.col("b"))) & possible)
-    rest = crossing.select("a", "b").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti").join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    links = staging.write(links.unionAll(verified(rest, texts, words_per_shingle, percent)), "links-3")
-    roots = staging.write(connected_components(links, staging, "third"), "roots-3")
-    staging.drop("buckets", "mixed", "stars", "texts", "links-1", "links-2", "roots-1", "roots-2")
-    joined = members.select("doc_id", "n_shingles", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    staging.drop("buckets", "stars", "texts", "blocks", "groups", "members-of-groups", "links-1", "links-2", "roots-1")
+    staging.release()
+    joined = members_of_classes.select("doc_id", "n_shingles", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.coalesce("root", "rep", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

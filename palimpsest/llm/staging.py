@@ -8,11 +8,15 @@ setting is absent (local tests) a temporary folder of this process stands in.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
@@ -36,8 +40,14 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{operator}-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return the written table, which has no lineage behind it."""
+    def write(self, df: DataFrame | Callable[[], DataFrame], name: str) -> DataFrame:
+        """Write a table and return it as written, without lineage behind it.
+
+        Given a function that builds the table, the job's shuffle files go as soon as it has been written: nothing
+        else holds its plan.
+        """
+        self.release()
+        df = df() if callable(df) else df
         schema = df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         del df
@@ -56,9 +66,17 @@ class Staging:
             path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
     def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished jobs now, not at some later collection."""
+        """Let Spark's cleaner delete the shuffle files of finished jobs now, not at some later collection.
+
+        The event that ends a job holds its plan until the listeners have seen it.
+        """
+        context = self.spark.sparkContext
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        with contextlib.suppress(Py4JJavaError):  # listeners that lag only delay the deletion
+            context._jsc.sc().listenerBus().waitUntilEmpty(2_000)
+        for _ in range(2):  # what the first round finalizes, the second one collects
+            context._jvm.System.gc()
+            time.sleep(0.1)
 
 
 def bound_arrow_batches(spark: SparkSession, rows: int = 4096, size: str = "16m") -> None:
