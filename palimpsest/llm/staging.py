@@ -40,18 +40,18 @@ class Staging:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{operator}-{uuid.uuid4().hex[:12]}"
 
-    def write(self, df: DataFrame | Callable[[], DataFrame], name: str) -> DataFrame:
+    def write(self, df: DataFrame | Callable[[], DataFrame], name: str, moved_much: bool = False) -> DataFrame:
         """Write a table and return it as written, without lineage behind it.
 
-        Given a function that builds the table, the job's shuffle files go as soon as it has been written: nothing
-        else holds its plan.
+        ``moved_much``: the job moves whole texts or ids, so its shuffle files are to go at once. Nothing else may
+        hold its plan then: ``df`` is a function that builds the table.
         """
-        self.release()
         df = df() if callable(df) else df
         schema = df.schema
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         del df
-        self.release()
+        if moved_much:
+            self.release()
         return self.read(name, schema)
 
     def read(self, name: str, schema=None) -> DataFrame:

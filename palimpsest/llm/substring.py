@@ -288,11 +288,11 @@ def repeated_windows(docs: DataFrame, window: int, staging: Staging) -> DataFram
         # rows that only pass through are dealt by their slice
         return df.repartition(F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket").cast("long")))
 
-    probes = docs.select("doc_id", "text", "mark").mapInArrow(_probes(block, buckets), ROW)
-    hits = staging.write(_per_document(dealt(probes).mapInArrow(_met, ROW)), "hits")
+    hits = staging.write(lambda: _per_document(dealt(docs.select("doc_id", "text", "mark").mapInArrow(_probes(block, buckets), ROW)).mapInArrow(_met, ROW)), "hits", moved_much=True)
     hit_docs = docs.select("doc_id", "text", "mark").join(_united(hits).withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m"), (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("d")) & (F.col("mark") == F.col("m")))
-    windows = hit_docs.select("doc_id", "text", "mark", "places").mapInArrow(_windows(window, block, buckets), ROW)
-    found = staging.write(_per_document(dealt(windows).mapInArrow(_later_copies, ROW)), "repeats")
+    # slices are numbered by task and order, so the order must be the same should a task run again
+    ordered = hit_docs.sortWithinPartitions("d", "m")
+    found = staging.write(lambda: _per_document(dealt(ordered.select("doc_id", "text", "mark", "places").mapInArrow(_windows(window, block, buckets), ROW)).mapInArrow(_later_copies, ROW)), "repeats", moved_much=True)
     staging.drop("hits")
     return found
 
