@@ -46,9 +46,15 @@ def fit_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dictio
     Words, not passages: a licence line that one language's sample happens to hold must not decide. What reaches the
     driver is at most ``sample_rows`` texts a language, each cut to ``SAMPLE_CHARS``.
     """
-    rows = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.xxhash64("text").alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("part"))
-    # the limit is applied in every task before anything moves
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "part")))
+    rows = labelled.where("lang is not null and text is not null").withColumn("key", F.xxhash64("text"))
+    # hashes below a bound that about twice the sample reaches: what moves doesn't grow with the table
+    counts = labelled.where("lang is not null").groupBy("lang").count().collect()  # a row a language
+    bounds = [(lang, int(min(1.0, 2.0 * sample_rows / n) * (1 << 63)) * 2 - (1 << 63) - 1) for lang, n in counts]
+    near = F.lit(False)
+    for lang, bound in bounds:
+        near = near | ((F.col("lang") == lang) & (F.col("key") <= bound))
+    parts = rows.where(near & F.col("text").rlike(r"\p{L}")).groupBy("lang", "key").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("part"))
+    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
     taken: dict[str, dict[int, str]] = {}
     for lang, key, part in ranked.where(F.col("rank") <= sample_rows).select("lang", "key", "part").collect():
         taken.setdefault(lang, {})[key] = part
