@@ -27,6 +27,7 @@ no rows give no rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -183,8 +184,9 @@ def _blocks(words_per_shingle: int):
     def row(held):
         ids, roots = (np.array([h[i] for h in held], dtype="<i8") for i in (1, 2))
         sizes = np.array([len(h[3]) for h in held], dtype="<i8")
-        # a block is named by its first document: a document stands in one block of its group
-        return (held[0][0], int(roots.min()), int(roots.max()), int(ids[0]), ids.tobytes(), roots.tobytes(), sizes.tobytes(), np.concatenate([h[3] for h in held]).astype("<u8").tobytes())
+        packed = [x.tobytes() for x in (ids, roots, sizes, np.concatenate([h[3] for h in held]).astype("<u8"))]
+        name = hashlib.blake2b(packed[0] + packed[3], digest_size=8).digest()
+        return (held[0][0], int(roots.min()), int(roots.max()), int.from_bytes(name, "little", signed=True), *packed)
 
     def batch_of(rows):
         kinds = (pa.int64(),) * 4 + (pa.binary(),) * 4
@@ -233,17 +235,26 @@ def intersections(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np
 
 
 def _compared(percent: int):
-    """Spanning forests of the links between different components in pairs of blocks."""
+    """Spanning forests of the links between different components in pairs of blocks. Rows (pair, block and its
+    payload) come in order of pair; a pair of one row is a block with itself."""
+    def links(x, y):
+        (ids, roots, sizes), (ids_b, roots_b, sizes_b) = ([np.frombuffer(r[i], dtype="<i8") for i in (1, 2, 3)] for r in (x, y))
+        both = intersections(np.frombuffer(x[4], dtype="<u8"), sizes, np.frombuffer(y[4], dtype="<u8"), sizes_b)
+        either = sizes[:, None] + sizes_b[None, :] - both
+        i, j = np.nonzero((both > 0) & (100 * both >= percent * either) & (roots[:, None] != roots_b[None, :]))
+        u, v = forest(ids[i], ids_b[j])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+
     def run(batches):
+        held = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                ids, roots, sizes = ([np.frombuffer(row[k + i], dtype="<i8") for k in (0, 4)] for i in range(3))
-                sets = [np.frombuffer(row[k + 3], dtype="<u8") for k in (0, 4)]
-                both = intersections(sets[0], sizes[0], sets[1], sizes[1])
-                either = sizes[0][:, None] + sizes[1][None, :] - both
-                i, j = np.nonzero((both > 0) & (100 * both >= percent * either) & (roots[0][:, None] != roots[1][None, :]))
-                u, v = forest(ids[0][i], ids[1][j])
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["a", "b"])
+            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if held and row[0] != held[0][0]:
+                    yield links(held[0], held[-1])
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held[0], held[-1])
 
     return run
 
@@ -258,11 +269,10 @@ def links_between(members: DataFrame, texts: DataFrame, words_per_shingle: int,
     names = blocks.select("grp", "block", "low", "high")
     other = names.select("grp", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     met = names.join(other, "grp").where("block <= block_b and not (low = high and low_b = high_b and low = low_b)").select("grp", "block", "block_b")
-    payload = ["ids", "roots", "sizes", "sets"]
-    left = blocks.select("grp", "block", *payload)
-    right = blocks.select("grp", F.col("block").alias("block_b"), *(F.col(c).alias(f"{c}_b") for c in payload))
-    pairs = met.join(left, ["grp", "block"]).join(right, ["grp", "block_b"]).select(*payload, *(f"{c}_b" for c in payload))
-    return pairs.mapInArrow(_compared(percent), "a long, b long")
+    sides = met.select("grp", F.struct("grp", "block", "block_b").alias("pair"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
+    pairs = sides.join(blocks.select("grp", "block", "ids", "roots", "sizes", "sets"), ["grp", "block"])
+    together = pairs.select(F.to_json("pair").alias("pair"), "ids", "roots", "sizes", "sets").repartition("pair").sortWithinPartitions("pair")
+    return together.mapInArrow(_compared(percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -279,10 +289,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     reps = staging.write(reps, "representatives")
     bands = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = staging.write(bands.join(shared.select("key", "pivot"), "key").select("key", "doc_id", "pivot"), "buckets")
+    buckets = staging.write(lambda: bands.join(shared.select("key", "pivot"), "key").select("key", "doc_id", "pivot"), "buckets", moved_much=True)
 
     # the texts of all candidates, moved once
-    texts = staging.write(lambda: docs.join(buckets.select("doc_id").distinct(), "doc_id"), "texts")
+    texts = staging.write(lambda: docs.join(buckets.select("doc_id").distinct(), "doc_id"), "texts", moved_much=True)
     facts = reps.select("doc_id", "n_shingles", "s0", "s1")
     agreement = least_agreement(percent / 100)
 
