@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import bound_arrow_batches
+from .staging import bound_arrow_batches, trimmed
 from .wordids import one_array, slices
 
 SECTIONS = "doc_id long, section int, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long"
@@ -99,4 +99,4 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "
                     of, section, a, b, counts, crossing, total = (np.concatenate(x) for x in zip(*columns, strict=True))
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(of)), pa.array(section, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(counts, pa.float64()), pa.array(crossing, pa.int64()), pa.array(total, pa.int64())], names=["doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SECTIONS)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), SECTIONS)

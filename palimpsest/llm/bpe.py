@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import bound_arrow_batches
+from .staging import bound_arrow_batches, trimmed
 from .wordids import Table, Vocabulary, _tables, encode_texts, listed, one_array, slices
 
 #: Words of more parts than this use the heap.
@@ -88,7 +88,7 @@ class RankedVocabulary(Vocabulary):
 
     def __init__(self, path: str):
         super().__init__(path)
-        model = self.stated["model"]
+        model = self.read(path)["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
             raise ValueError("a BPE vocabulary without unknown token, prefix and byte fallback is needed")
         self.array = RankArray(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
@@ -134,7 +134,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
                 ids, bounds = encode_texts(texts.slice(lo, hi - lo), table)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -145,7 +145,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.mapInArrow(run, "doc_id long, text string")
+    return encoded.mapInArrow(trimmed(run), "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,4 +167,4 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
                 decoded = [hashlib.sha256(b" ".join(map(tokens.__getitem__, plain[a:b]))).hexdigest() for a, b in zip(edges, edges[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(spelled, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .staging import Staging, bound_arrow_batches
+from .staging import Staging, bound_arrow_batches, trimmed
 
 #: Fitted rows, homes a cell aimed at, cells at most, rows of a home block and of another block.
 SAMPLE, PER_CELL, MOST_CELLS, HOME_BLOCK, BLOCK = 20_000, 4096, 512, 4096, 1024
@@ -103,7 +103,7 @@ def near_vectors(rows: DataFrame, least: float = 0.9, margin: float | None = Non
     keyed = given.select("vec_id", F.when(usable, v).alias("v")).select("vec_id", "v", F.when(v.isNotNull(), F.xxhash64("v")).alias("h1"), F.when(v.isNotNull(), F.xxhash64(F.lit(1), "v")).alias("h2"))
     classes = keyed.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("v").alias("v"))
     reps = staging.write(classes.select("rep", "v", "mult", "h1", "h2"), "classes")
-    vectors = staging.write(reps.select("rep", "v", "mult").mapInArrow(_packed, "rep long, dim int, vec binary, mult long"), "vectors")
+    vectors = staging.write(reps.select("rep", "v", "mult").mapInArrow(trimmed(_packed), "rep long, dim int, vec binary, mult long"), "vectors")
 
     # per length: centroids from a bounded sample
     sizes = {r[0]: r[1] for r in vectors.groupBy("dim").count().collect()}
@@ -123,7 +123,7 @@ def near_vectors(rows: DataFrame, least: float = 0.9, margin: float | None = Non
                 home = near.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*(part[c].combine_chunks() for c in ("rep", "dim", "vec", "mult")), pa.array((home + first[dim]).astype(np.int32)), pa.array(near.max(axis=1))], names=["rep", "dim", "vec", "mult", "home", "near"])
 
-    assigned = staging.write(vectors.mapInArrow(assign, "rep long, dim int, vec binary, mult long, home int, near double"), "assigned")
+    assigned = staging.write(vectors.mapInArrow(trimmed(assign), "rep long, dim int, vec binary, mult long, home int, near double"), "assigned")
     radius = {r[0]: math.acos(max(-1.0, min(1.0, r[1]))) for r in assigned.groupBy("home").agg(F.min("near")).collect()}  # a row a cell
     reach = spark.sparkContext.broadcast(radius)
 
@@ -146,7 +146,7 @@ def near_vectors(rows: DataFrame, least: float = 0.9, margin: float | None = Non
                 take = pa.array(at)
                 yield pa.RecordBatch.from_arrays([pa.array((cell + first[dim]).astype(np.int32)), pa.array(cell == home[at]), *(part[n].combine_chunks().take(take) for n in ("rep", "mult", "vec"))], names=["cell", "is_home", "rep", "mult", "vec"])
 
-    seats = assigned.mapInArrow(seated, "cell int, is_home boolean, rep long, mult long, vec binary").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(PARTS)).cast("int"))
+    seats = assigned.mapInArrow(trimmed(seated), "cell int, is_home boolean, rep long, mult long, vec binary").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(PARTS)).cast("int"))
 
     def blocks(batches):
         """Blocks of one cell, part and kind, from rows in that order."""
@@ -171,7 +171,7 @@ def near_vectors(rows: DataFrame, least: float = 0.9, margin: float | None = Non
             yield batch_of([block(rows)])
 
     order = ["cell", "salt", "is_home"]
-    packed = seats.select(*order, "rep", "mult", "vec").repartition("cell", "salt").sortWithinPartitions(*order).mapInArrow(blocks, "cell int, salt int, is_home boolean, reps binary, mults binary, vecs binary")
+    packed = seats.select(*order, "rep", "mult", "vec").repartition("cell", "salt").sortWithinPartitions(*order).mapInArrow(trimmed(blocks), "cell int, salt int, is_home boolean, reps binary, mults binary, vecs binary")
     packed = staging.write(packed, "blocks")
     # each home block meets the blocks of all parts of its cell
     homes = packed.where("is_home").select("cell", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("salt"), F.col("reps").alias("a_reps"), F.col("vecs").alias("a_vecs"))
@@ -192,7 +192,7 @@ def near_vectors(rows: DataFrame, least: float = 0.9, margin: float | None = Non
                 u, w = forest(a_reps[i], reps[j])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a_reps[some], u])), pa.array(np.concatenate([links[some], w])), pa.array(np.repeat([False, True], [len(some), len(u)]))], names=["a", "b", "is_link"])
 
-    found = staging.write(met.mapInArrow(products, "a long, b long, is_link boolean"), "found")
+    found = staging.write(met.mapInArrow(trimmed(products), "a long, b long, is_link boolean"), "found")
     counts = found.where("not is_link").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
     roots = connected_components(found.where("is_link").select("a", "b"), staging, "components")
     facts = reps.select("rep", "mult", "h1", "h2").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import bound_arrow_batches
+from .staging import bound_arrow_batches, trimmed
 from .wordids import one_array
 
 UNDETERMINED = "und"
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float
 
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, language struct<lang: string, score: double, rejected: boolean>"
-    return rows.mapInArrow(run, schema).select("row.*", "language")
+    return rows.mapInArrow(trimmed(run), schema).select("row.*", "language")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import bound_arrow_batches
+from .staging import bound_arrow_batches, trimmed
 from .wordids import one_array, slices
 
 # Element ids of the container format (fixed values).
@@ -285,7 +285,7 @@ def media_of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 sizes, payloads = zip(*map(padded, texts.slice(lo, hi - lo).to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), pa.array(map(write_samples, payloads), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(run), "doc_id long, n_bytes long, media binary")
 
 
 def packet_table(media: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def packet_table(media: DataFrame) -> DataFrame:
                 columns = [list(c) for c in zip(*packets)] or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(packets), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["doc_id", "track", "timestamp", "start", "end", "key"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, track int, timestamp long, start long, end long, key boolean")
+    return media.select("doc_id", "media").mapInArrow(trimmed(run), "doc_id long, track int, timestamp long, start long, end long, key boolean")
 
 
 def features(payload: bytes, media: Media) -> str:
@@ -327,4 +327,4 @@ def media_digests(media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
-    return media.mapInArrow(run, DIGESTS)
+    return media.mapInArrow(trimmed(run), DIGESTS)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, forest
-from .staging import Staging, bound_arrow_batches
+from .staging import Staging, bound_arrow_batches, trimmed
 from .wordids import one_array, slices
 from .words import Words, mixed, shingles
 
@@ -144,7 +144,7 @@ def signatures(docs: DataFrame, words_per_shingle: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]), pa.int32()), pa.array(band_keys(signature)[size > 0].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array(size), pa.array(d0), pa.array(d1), pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy()), lists], names=["doc_id", "n_shingles", "d0", "d1", "s0", "s1", "keys"])
 
-    return docs.mapInArrow(run, SIGNATURES)
+    return docs.mapInArrow(trimmed(run), SIGNATURES)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, words_per_shingle: int, percent: int) -> DataFrame:
@@ -171,7 +171,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words_per_shingle: int, percent:
                 kept = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([one_array(part.column(i)).filter(kept) for i in (0, 1)], names=["a", "b"])
 
-    return sides.mapInArrow(run, "a long, b long")
+    return sides.mapInArrow(trimmed(run), "a long, b long")
 
 
 #: Documents, and shingles, of a block at most; columns of a matrix.
@@ -265,14 +265,14 @@ def links_between(members: DataFrame, texts: DataFrame, words_per_shingle: int,
     order = ["grp", "root", "doc_id"]
     # a large group is dealt over several tasks by ranges of its components
     rows = members.join(texts, "doc_id").select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = staging.write(lambda: rows.mapInArrow(_blocks(words_per_shingle), BLOCKS), "blocks")
+    blocks = staging.write(lambda: rows.mapInArrow(trimmed(_blocks(words_per_shingle)), BLOCKS), "blocks")
     names = blocks.select("grp", "block", "low", "high")
     other = names.select("grp", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     met = names.join(other, "grp").where("block <= block_b and not (low = high and low_b = high_b and low = low_b)").select("grp", "block", "block_b")
     sides = met.select("grp", F.struct("grp", "block", "block_b").alias("pair"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
     pairs = sides.join(blocks.select("grp", "block", "ids", "roots", "sizes", "sets"), ["grp", "block"])
     together = pairs.select(F.to_json("pair").alias("pair"), "ids", "roots", "sizes", "sets").repartition("pair").sortWithinPartitions("pair")
-    return together.mapInArrow(_compared(percent), "a long, b long")
+    return together.mapInArrow(trimmed(_compared(percent)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,5 +322,5 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     staging.drop("buckets", "stars", "texts", "blocks", "groups", "members-of-groups", "links-1", "links-2", "roots-1")
     staging.release()
     joined = members_of_classes.select("doc_id", "n_shingles", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-    component = F.coalesce("root", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import Staging, bound_arrow_batches, shuffle_partitions
+from .staging import Staging, bound_arrow_batches, shuffle_partitions, trimmed
 from .wordids import encode_texts, library_table, one_array, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,7 +56,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, i
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(pieces, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(pieces), PIECES)
 
 
 def fullest(room: int, lengths: list[int], counts: dict[int, int]) -> dict[int, int]:
@@ -137,7 +137,7 @@ def pack(pieces: DataFrame, capacity: int, staging: Staging) -> DataFrame:
             offset = row[:, 4] + turn % row[:, 3] * length
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(place), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,6 +156,6 @@ def sequences(docs: DataFrame, placed: DataFrame, vocabulary: str, end_id: int =
             ids, bounds = with_end(*encode_texts(one_array(batch.column(1)), table), end_id)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(ids_of, "doc_id long, ids array<int>")
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(trimmed(ids_of), "doc_id long, ids array<int>")
     cut = placed.join(ids, "doc_id").select("sequence_id", "offset", F.slice("ids", (F.col("start") + 1).cast("int"), F.col("length").cast("int")).alias("ids"))
     return cut.groupBy("sequence_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))

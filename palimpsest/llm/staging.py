@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -16,6 +17,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,5 +87,22 @@ def bound_arrow_batches(spark: SparkSession, rows: int = 4096, size: str = "16m"
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` over Arrow batches that gives freed memory back to the system when its task ends.
+
+    Python workers outlive their tasks, and what Arrow and the allocator keep for reuse counts for the executor.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

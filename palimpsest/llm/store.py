@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .packing import with_end
-from .staging import Staging, bound_arrow_batches, shuffle_partitions
+from .staging import Staging, bound_arrow_batches, shuffle_partitions, trimmed
 from .wordids import encode_texts, library_table, one_array, slices
 
 LEAST, MOST, WINDOW, CUT_BITS = 64, 4096, 16, 9
@@ -175,13 +175,13 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1,
     bound_arrow_batches(spark)
     staging = Staging(spark, "store")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    raw = chosen.mapInArrow(_encoder(vocabulary, end_id, "<u4" if wide else "<u2"), RAW).repartition("key").mapInArrow(_once, RAW)
+    raw = chosen.mapInArrow(trimmed(_encoder(vocabulary, end_id, "<u4" if wide else "<u2")), RAW).repartition("key").mapInArrow(trimmed(_once), RAW)
     raw.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/objects")
     staging.release()
     order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
     unordered = spark.read.schema(RAW).parquet(f"{folder}/objects").where("kind = 'recipe'").select("doc_id", "key", "n_tokens", "digests", "lengths")
     ordered = unordered.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    staged = staging.write(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "digests", "lengths").mapInArrow(_numbered, RECIPES), "numbered")
+    staged = staging.write(ordered.select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "digests", "lengths").mapInArrow(trimmed(_numbered), RECIPES), "numbered")
     staged.where("kind = 0").drop("kind").write.mode("overwrite").parquet(f"{folder}/recipes")
     staged.where("kind = 1").select("part", F.col("row").alias("documents"), "n_tokens", F.col("leaf").alias("root")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     staging.drop("numbered")
@@ -246,7 +246,7 @@ def read_documents(spark: SparkSession, folder: str, wide: bool = False) -> Data
                 sums.append(zlib.crc32(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int32()), pa.array(sums, pa.int64())], names=["digest", "length", "crc"])
 
-    stored = chunks.mapInArrow(checked, "digest binary, length int, crc long")
+    stored = chunks.mapInArrow(trimmed(checked), "digest binary, length int, crc long")
     refs = recipes.select("part", "row", F.posexplode(F.arrays_zip("digests", "lengths"))).select("part", "row", "pos", F.col("col.digests").alias("digest"))
     found = refs.join(stored, "digest", "left").groupBy("part", "row").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("length").alias("n"), "crc"))).alias("found"))
     joined = recipes.join(found, ["part", "row"], "left")
@@ -263,7 +263,7 @@ def read_documents(spark: SparkSession, folder: str, wide: bool = False) -> Data
             cols = [batch.column(batch.schema.get_field_index(x)) for x in ("part", "row", "doc_id", "start_in_part", "n_tokens", "leaf")]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(sums, pa.int64()), pa.array(map(len, batch.column(batch.schema.get_field_index("lengths")).to_pylist()), pa.int32())], names=["part", "row", "doc_id", "start_in_part", "n_tokens", "leaf", "ids_crc32", "n_chunks"])
 
-    documents = joined.mapInArrow(combined, "part int, row long, doc_id long, start_in_part long, n_tokens long, leaf binary, ids_crc32 long, n_chunks int")
+    documents = joined.mapInArrow(trimmed(combined), "part int, row long, doc_id long, start_in_part long, n_tokens long, leaf binary, ids_crc32 long, n_chunks int")
     # one row a part: the number of parts, not of documents
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = manifest.select("part", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
@@ -285,7 +285,7 @@ def verify_roots(spark: SparkSession, folder: str) -> DataFrame:
         rows = [(p, t.root(), k, n) for p, (t, k, n) in trees.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["part", "found_root", "found_documents", "found_tokens"])
 
-    found = leaves.mapInArrow(roots, "part int, found_root binary, found_documents long, found_tokens long")
+    found = leaves.mapInArrow(trimmed(roots), "part int, found_root binary, found_documents long, found_tokens long")
     manifest = spark.read.parquet(f"{folder}/manifest")
     same = F.col("root").eqNullSafe(F.col("found_root")) & F.col("documents").eqNullSafe(F.col("found_documents")) & F.col("n_tokens").eqNullSafe(F.col("found_tokens"))
     return manifest.join(found, "part", "full").select("part", "documents", "n_tokens", F.coalesce(same, F.lit(False)).alias("intact"))
@@ -302,4 +302,4 @@ def reconstruct(spark: SparkSession, folder: str, wide: bool = False) -> DataFra
             ids = [b"".join(x["body"] for x in bodies) for bodies in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary())], names=["part", "row", "doc_id", "ids"])
 
-    return whole.mapInArrow(put_together, "part int, row long, doc_id long, ids binary")
+    return whole.mapInArrow(trimmed(put_together), "part int, row long, doc_id long, ids binary")

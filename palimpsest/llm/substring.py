@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import Staging, bound_arrow_batches, shuffle_partitions
+from .staging import Staging, bound_arrow_batches, shuffle_partitions, trimmed
 from .wordids import one_array, slices
 from .words import Runs, Words
 
@@ -182,7 +182,7 @@ def _by_document(batches):
 
 def _per_document(df: DataFrame) -> DataFrame:
     """From rows of slices to one row per document with places."""
-    return df.repartition("slice").sortWithinPartitions("slice").mapInArrow(_by_document, PLACES)
+    return df.repartition("slice").sortWithinPartitions("slice").mapInArrow(trimmed(_by_document), PLACES)
 
 
 def _united(found: DataFrame) -> DataFrame:
@@ -288,11 +288,11 @@ def repeated_windows(docs: DataFrame, window: int, staging: Staging) -> DataFram
         # rows that only pass through are dealt by their slice
         return df.repartition(F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket").cast("long")))
 
-    hits = staging.write(lambda: _per_document(dealt(docs.select("doc_id", "text", "mark").mapInArrow(_probes(block, buckets), ROW)).mapInArrow(_met, ROW)), "hits", moved_much=True)
+    hits = staging.write(lambda: _per_document(dealt(docs.select("doc_id", "text", "mark").mapInArrow(trimmed(_probes(block, buckets)), ROW)).mapInArrow(trimmed(_met), ROW)), "hits", moved_much=True)
     hit_docs = docs.select("doc_id", "text", "mark").join(_united(hits).withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m"), (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("d")) & (F.col("mark") == F.col("m")))
     # slices are numbered by task and order, so the order must be the same should a task run again
     ordered = hit_docs.sortWithinPartitions("d", "m")
-    found = staging.write(lambda: _per_document(dealt(ordered.select("doc_id", "text", "mark", "places").mapInArrow(_windows(window, block, buckets), ROW)).mapInArrow(_later_copies, ROW)), "repeats", moved_much=True)
+    found = staging.write(lambda: _per_document(dealt(ordered.select("doc_id", "text", "mark", "places").mapInArrow(trimmed(_windows(window, block, buckets)), ROW)).mapInArrow(trimmed(_later_copies), ROW)), "repeats", moved_much=True)
     staging.drop("hits")
     return found
 
@@ -333,4 +333,4 @@ def cut_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["__row", "cut"])
 
     row = joined.schema["__row"].dataType.simpleString()
-    return joined.mapInArrow(run, f"__row {row}, cut {cut}").select("__row.*", "cut")
+    return joined.mapInArrow(trimmed(run), f"__row {row}, cut {cut}").select("__row.*", "cut")

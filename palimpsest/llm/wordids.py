@@ -22,7 +22,7 @@ PLAIN = "^[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: What stands alone or ends a run of letters in such a word, in lower case (fixed by the vocabulary's word rule).
 BREAKS = "([0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+)"
 #: Distinct words that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -110,17 +110,21 @@ class Vocabulary:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        with open(path, encoding="utf-8") as file:
-            self.stated = json.load(file)
+        stated = self.read(path)
         # the short cut holds for this normalizer and word rule only
         self.short = (
-            [n.get("type") for n in (self.stated.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
-            and self.stated["model"].get("end_of_word_suffix") == "</w>"
-            and "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(self.stated.get("pre_tokenizer")).replace("\\\\", "\\")
+            [n.get("type") for n in (stated.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+            and stated["model"].get("end_of_word_suffix") == "</w>"
+            and "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(stated.get("pre_tokenizer")).replace("\\\\", "\\")
         )
         self.letters = byte_alphabet()
         self.piece_table = Table(self.pieces)
 
+    @staticmethod
+    def read(path: str) -> dict:
+        with open(path, encoding="utf-8") as file:
+            return json.load(file)
+
     def lettered(self, piece: str) -> str:
         return piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
 

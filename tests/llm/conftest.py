@@ -13,7 +13,7 @@ def sample(spark):
 @pytest.fixture(scope="session")
 def odd(spark):
     """Null ids, repeated rows, empty and long texts, and columns whose names operators use."""
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "null id"), (3, "x")]
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "null id"), (None, "same text here for all of us"), (3, "x")]
     clash = {n: F.lit(n) for n in ("cut", "language", "start", "length", "rank", "key", "mark", "part", "row", "kind", "body", "places")}
     return spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash)
 
