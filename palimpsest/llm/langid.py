@@ -5,8 +5,8 @@ into blocks of bounded size, all of which count; each is compressed with every d
 the smallest sum is the prediction. The margin is how much larger the second smallest is, as a share of it; the
 score maps it to 0 to 1. A text whose margin is under ``least_margin`` is rejected, as is one without letters.
 
-The dictionaries are fitted on at most ``sample_rows`` labelled rows a language, those of the smallest text hash,
-so copies stand side by side and one of them is taken.
+The dictionaries are fitted on at most ``sample_rows`` distinct labelled texts a language, those of the smallest
+hashes, however often each of them stands there; a language with fewer gives all of its texts.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0, and rejected; with no labelled row all
 texts are ``und``; a single language wins every text with letters, with score 0; ties go to the language that
@@ -46,14 +46,15 @@ def fit_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dictio
     Words, not passages: a licence line that one language's sample happens to hold must not decide. What reaches the
     driver is at most ``sample_rows`` texts a language, each cut to ``SAMPLE_CHARS``.
     """
-    rows = labelled.where("lang is not null and text is not null").withColumn("key", F.xxhash64("text"))
-    # hashes below a bound that about twice the sample reaches: what moves doesn't grow with the table
-    counts = labelled.where("lang is not null").groupBy("lang").count().collect()  # a row a language
-    bounds = [(lang, int(min(1.0, 2.0 * sample_rows / n) * (1 << 63)) * 2 - (1 << 63) - 1) for lang, n in counts]
+    rows = labelled.where("lang is not null and text is not null").withColumn("key", F.xxhash64("text")).where(F.col("text").rlike(r"\p{L}"))
+    texts = rows.select("lang", "key").distinct().groupBy("lang").count().collect()  # a row a language
+    # hashes below a bound that about twice the sample of distinct texts reaches, so what moves doesn't grow with the
+    # table; fewer than the sample lie below it with a probability under 1e-15
     near = F.lit(False)
-    for lang, bound in bounds:
+    for lang, n in texts:
+        bound = int(min(1.0, (2.0 * sample_rows + 50) / n) * (1 << 63)) * 2 - (1 << 63) - 1
         near = near | ((F.col("lang") == lang) & (F.col("key") <= bound))
-    parts = rows.where(near & F.col("text").rlike(r"\p{L}")).groupBy("lang", "key").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("part"))
+    parts = rows.where(near).groupBy("lang", "key").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("part"))
     ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
     taken: dict[str, dict[int, str]] = {}
     for lang, key, part in ranked.where(F.col("rank") <= sample_rows).select("lang", "key", "part").collect():

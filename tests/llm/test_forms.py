@@ -145,6 +145,15 @@ def test_language(spark, odd, empty):
     assert langid.predict(empty, dictionaries).count() == 0
 
 
+def test_language_of_copies(spark):
+    """Copies, nulls and letterless rows do not thin the sample: all distinct texts of a small language count."""
+    rows = [("aa", "copied text")] * 3000 + [("aa", None), ("aa", "1 2")] * 200 + [("aa", f"own{chr(97 + i)}") for i in range(26)]
+    rows += [("bb", f"w{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(600)] + [("cc", "alone")] * 5000
+    found = langid.fit_dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(found["aa"].decode().split()) == {"copied", "text", *(f"own{chr(97 + i)}" for i in range(26))}
+    assert len(found["bb"].split()) == langid.SAMPLE_ROWS and found["cc"] == b" alone "
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
