@@ -230,8 +230,11 @@ def joined_crc32(parts: list[tuple[int, int]]) -> int:
 def read_documents(spark: SparkSession, folder: str, wide: bool = False) -> DataFrame:
     """Read a store back: doc_id, start, n_tokens, ids_crc32, n_chunks; each chunk, leaf and root is checked.
 
-    A mismatch, a missing chunk or a missing row raises an error.
+    A mismatch, a missing chunk, and a missing or repeated row or part raise an error: roots, counts and places at
+    once, chunks and leaves when the result is read.
     """
+    for part in verify_roots(spark, folder).where("not intact").select("part").sort("part").take(1):
+        raise ValueError(f"part {part[0]} does not match its digest and counts in the manifest")
     recipes, chunks, manifest = _open(spark, folder)
     width = "<u4" if wide else "<u2"
 
@@ -271,23 +274,25 @@ def read_documents(spark: SparkSession, folder: str, wide: bool = False) -> Data
 
 
 def verify_roots(spark: SparkSession, folder: str) -> DataFrame:
-    """Per part: whether the recipes' leaves, in order, give the manifest's Merkle root and counts."""
-    leaves = spark.read.parquet(f"{folder}/recipes").select("part", "row", "n_tokens", "leaf").repartition("part").sortWithinPartitions("part", "row")
+    """Per part: whether the recipes' leaves, in order and each in its place, give the manifest's Merkle root and counts.
+    A part that stands in the manifest more than once isn't intact."""
+    leaves = spark.read.parquet(f"{folder}/recipes").select("part", "row", "n_tokens", "leaf", "start_in_part").repartitionByRange("part").sortWithinPartitions("part", "row")
 
     def roots(batches):
         trees: dict[int, list] = {}
         for batch in batches:
-            for part, n, leaf in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
-                held = trees.setdefault(part, [MerkleRoot(), 0, 0])
+            for part, row, n, leaf, start in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                held = trees.setdefault(part, [MerkleRoot(), 0, 0, True])
                 held[0].add(leaf)
+                held[3] = held[3] and (row, start) == (held[1], held[2])
                 held[1] += 1
                 held[2] += n
-        rows = [(p, t.root(), k, n) for p, (t, k, n) in trees.items()]
+        rows = [(p, t.root() if placed else None, k, n) for p, (t, k, n, placed) in trees.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.int64(), pa.int64()))], names=["part", "found_root", "found_documents", "found_tokens"])
 
     found = leaves.mapInArrow(trimmed(roots), "part int, found_root binary, found_documents long, found_tokens long")
-    manifest = spark.read.parquet(f"{folder}/manifest")
-    same = F.col("root").eqNullSafe(F.col("found_root")) & F.col("documents").eqNullSafe(F.col("found_documents")) & F.col("n_tokens").eqNullSafe(F.col("found_tokens"))
+    manifest = spark.read.parquet(f"{folder}/manifest").withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("part")))  # a row a part
+    same = (F.col("times") == 1) & F.col("root").eqNullSafe(F.col("found_root")) & F.col("documents").eqNullSafe(F.col("found_documents")) & F.col("n_tokens").eqNullSafe(F.col("found_tokens"))
     return manifest.join(found, "part", "full").select("part", "documents", "n_tokens", F.coalesce(same, F.lit(False)).alias("intact"))
 
 

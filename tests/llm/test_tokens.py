@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from palimpsest.llm import attribution, bpe, packing, store, wordids
 
@@ -74,6 +76,33 @@ def test_store_finds_damage(spark, sample, vocabulary, tmp_path):
         store.read_documents(spark, folder).count()
 
 
+def test_store_finds_lost_and_repeated_rows(spark, sample, vocabulary, tmp_path):
+    whole = f"file://{tmp_path}/whole"
+    store.write_store(sample, whole, vocabulary)
+    recipes, manifest = (spark.read.parquet(f"{whole}/{x}") for x in ("recipes", "manifest"))
+    part = manifest.first()["part"]
+    here = f"part = {part}"
+    first = recipes.where(f"{here} and row = 0")
+    damaged = {
+        "lost row": (recipes.where(f"not ({here} and row = 1)"), manifest),
+        "repeated row": (recipes.unionAll(first), manifest),
+        "moved row": (recipes.withColumn("start_in_part", F.expr(f"start_in_part + if({here} and row = 1, 1L, 0L)")), manifest),
+        "lost part": (recipes.where(f"not ({here})"), manifest),
+        "part not in the manifest": (recipes, manifest.where(f"not ({here})")),
+        "repeated manifest row": (recipes, manifest.unionAll(manifest.where(here))),
+    }
+    for name, tables in damaged.items():
+        folder = f"{tmp_path}/{name.replace(' ', '-')}"
+        shutil.copytree(f"{tmp_path}/whole/objects", f"{folder}/objects")
+        for table, kind in zip(tables, ("recipes", "manifest"), strict=True):
+            table.write.parquet(f"file://{folder}/{kind}")
+        with pytest.raises(ValueError, match=f"part {part} does not match"):
+            store.read_documents(spark, f"file://{folder}").count()
+    spark.createDataFrame([("chunk", bytearray(b"\x01" * 16), bytearray(b"\x05\x00"))], "kind string, key binary, body binary").write.mode("append").partitionBy("kind").parquet(f"{whole}/objects")
+    with pytest.raises(Exception, match="chunk 0101.* does not match its digest"):
+        store.read_documents(spark, whole).count()
+
+
 def test_store_of_nothing(spark, empty, vocabulary, tmp_path):
     folder = f"file://{tmp_path}/none"
     store.write_store(empty, folder, vocabulary)
