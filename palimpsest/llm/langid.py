@@ -31,7 +31,7 @@ OTHER = re.compile(r"[\W\d_]+")
 #: Shorter texts are repeated up to this size: blocks that hardly shrink would be stored as they are, and tie.
 LEAST_BYTES = 256
 #: Bounds of the fitted sample, of a dictionary and of a compressed block; the compression level.
-SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 400, 6144, 32 << 10, 16 << 10, 7
+SAMPLE_ROWS, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 400, 32 << 10, 16 << 10, 7
 
 
 def plain_words(text: str) -> str:
@@ -41,34 +41,52 @@ def plain_words(text: str) -> str:
 
 def fit_dictionaries(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each value of ``lang`` in (lang, text): its commonest words in the sample, up to
-    ``dictionary_bytes``, the commonest last, where zstandard reaches them cheapest.
+    ``dictionary_bytes``, the commonest last, where zstandard reaches them cheapest; the word that no longer fits is
+    cut to the room left.
 
-    Words, not passages: a licence line that one language's sample happens to hold must not decide. What reaches the
-    driver is at most ``sample_rows`` texts a language, each cut to ``SAMPLE_CHARS``.
+    Words, not passages: a licence line that one language's sample happens to hold must not decide. The sampled texts
+    are counted whole, in tasks; what reaches the driver is the words of the dictionaries.
     """
+    bound_arrow_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").withColumn("key", F.xxhash64("text")).where(F.col("text").rlike(r"\p{L}"))
-    texts = rows.select("lang", "key").distinct().groupBy("lang").count().collect()  # a row a language
+    hashes = rows.select("lang", "key").distinct()
+
+    def below(bounds: dict[str, int]):
+        near = F.lit(False)
+        for lang, bound in bounds.items():
+            near = near | ((F.col("lang") == lang) & (F.col("key") <= bound))
+        return near
+
     # hashes below a bound that about twice the sample of distinct texts reaches, so what moves doesn't grow with the
     # table; fewer than the sample lie below it with a probability under 1e-15
-    near = F.lit(False)
-    for lang, n in texts:
-        bound = int(min(1.0, (2.0 * sample_rows + 50) / n) * (1 << 63)) * 2 - (1 << 63) - 1
-        near = near | ((F.col("lang") == lang) & (F.col("key") <= bound))
-    parts = rows.where(near).groupBy("lang", "key").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("part"))
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
-    taken: dict[str, dict[int, str]] = {}
-    for lang, key, part in ranked.where(F.col("rank") <= sample_rows).select("lang", "key", "part").collect():
-        taken.setdefault(lang, {})[key] = part
+    texts = hashes.groupBy("lang").count().collect()  # a row a language
+    bounds = {lang: int(min(1.0, (2.0 * sample_rows + 50) / n) * (1 << 63)) * 2 - (1 << 63) - 1 for lang, n in texts}
+    ranked = hashes.where(below(bounds)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key")))
+    bounds = dict(map(tuple, ranked.where(F.col("rank") <= sample_rows).groupBy("lang").agg(F.max("key")).collect()))
+    sample = rows.where(below(bounds)).groupBy("lang", "key").agg(F.min("text").alias("text")).select("lang", "text")
+
+    def words(batches):
+        for batch in batches:
+            found: Counter = Counter()
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found.update((lang, word) for word in plain_words(text).split())
+            columns = [[lang for lang, _ in found], [word for _, word in found], list(found.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+
+    counted = sample.mapInArrow(trimmed(words), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    size = F.octet_length("word") + 1
+    ends = counted.withColumn("end", F.sum(size).over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
+    taken: dict[str, list[str]] = {lang: [] for lang in bounds}
+    for lang, word in ends.where(F.col("end") - size < dictionary_bytes).orderBy("lang", "end").select("lang", F.substring("word", 1, dictionary_bytes)).collect():
+        taken[lang].append(word)
     out = {}
     for lang in sorted(taken):
-        counts = Counter(word for part in taken[lang].values() for word in plain_words(part).split())
-        words, size = [], 1
-        for word in sorted(counts, key=lambda w: (-counts[w], w)):
-            size += len(word.encode()) + 1
-            if size > dictionary_bytes:
-                break
-            words.append(word)
-        out[lang] = (" " + " ".join(reversed(words)) + " ").encode()
+        held, room = [], dictionary_bytes - 1
+        for word in taken[lang]:
+            if fitting := word.encode()[: max(0, room - 1)].decode(errors="ignore"):
+                held.append(fitting)
+            room -= len(word.encode()) + 1
+        out[lang] = (" " + " ".join(reversed(held)) + " ").encode()
     return out
 
 

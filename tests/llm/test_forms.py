@@ -154,6 +154,14 @@ def test_language_of_copies(spark):
     assert len(found["bb"].split()) == langid.SAMPLE_ROWS and found["cc"] == b" alone "
 
 
+def test_language_of_long_texts(spark):
+    """What follows a long header in another language counts, and a word beyond the dictionary's size is cut to it."""
+    rows = [("aa", "header " * 3000 + f"tail{chr(97 + i)}") for i in range(20)] + [("bb", "z" * 100_000)]
+    found = langid.fit_dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(found["aa"].decode().split()) == {"header", *(f"tail{chr(97 + i)}" for i in range(20))} and found["aa"].endswith(b" header ")
+    assert found["bb"] == b" " + b"z" * (langid.DICTIONARY_BYTES - 2) + b" "
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
