@@ -27,7 +27,6 @@ no rows give no rows.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
@@ -176,7 +175,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words_per_shingle: int, percent:
 
 #: Documents, and shingles, of a block at most; columns of a matrix.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 18, 8192
-BLOCKS = "grp long, low long, high long, block long, ids binary, roots binary, sizes binary, sets binary"
+BLOCKS = "grp long, low long, high long, ids binary, roots binary, sizes binary, sets binary"
 
 
 def _blocks(words_per_shingle: int):
@@ -185,11 +184,10 @@ def _blocks(words_per_shingle: int):
         ids, roots = (np.array([h[i] for h in held], dtype="<i8") for i in (1, 2))
         sizes = np.array([len(h[3]) for h in held], dtype="<i8")
         packed = [x.tobytes() for x in (ids, roots, sizes, np.concatenate([h[3] for h in held]).astype("<u8"))]
-        name = hashlib.blake2b(packed[0] + packed[3], digest_size=8).digest()
-        return (held[0][0], int(roots.min()), int(roots.max()), int.from_bytes(name, "little", signed=True), *packed)
+        return (held[0][0], int(roots.min()), int(roots.max()), *packed)
 
     def batch_of(rows):
-        kinds = (pa.int64(),) * 4 + (pa.binary(),) * 4
+        kinds = (pa.int64(),) * 3 + (pa.binary(),) * 4
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     def run(batches):
@@ -265,7 +263,8 @@ def links_between(members: DataFrame, texts: DataFrame, words_per_shingle: int,
     order = ["grp", "root", "doc_id"]
     # a large group is dealt over several tasks by ranges of its components
     rows = members.join(texts, "doc_id").select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = staging.write(lambda: rows.mapInArrow(trimmed(_blocks(words_per_shingle)), BLOCKS), "blocks")
+    # numbered, not named by content: blocks of repeated rows hold the same
+    blocks = staging.write(lambda: rows.mapInArrow(trimmed(_blocks(words_per_shingle)), BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks")
     names = blocks.select("grp", "block", "low", "high")
     other = names.select("grp", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
     met = names.join(other, "grp").where("block <= block_b and not (low = high and low_b = high_b and low = low_b)").select("grp", "block", "block_b")

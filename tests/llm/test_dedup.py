@@ -69,6 +69,18 @@ def test_near_duplicates_of_nothing(spark, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_blocks_of_repeated_rows(spark):
+    """Rows of one id and text that fill several blocks: each block has its own name, and the link is found."""
+    text = {1: " ".join(f"w{i}" for i in range(40)), 2: " ".join(f"w{i}" for i in range(42))}
+    members = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "grp long, doc_id long, root long")
+    texts = spark.createDataFrame([(i, t) for i, t in text.items()] * (2 * minhash.BLOCK), "doc_id long, text string")
+    staging = Staging(spark, "test")
+    links = minhash.links_between(members, texts, 4, 80, staging).collect()
+    blocks = staging.read("blocks")
+    assert blocks.count() == blocks.select("block").distinct().count() == 4
+    assert {frozenset(r) for r in links} == {frozenset((1, 2))} and len(links) == 4
+
+
 def plain_super_min_hash(elements, places):
     """The definition: every element visits all places in the order of its permutation."""
     out = np.full(places, np.iinfo(np.uint64).max, dtype=np.uint64)
