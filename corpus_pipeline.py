@@ -31,7 +31,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays, the smallest id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays, the smallest id.
+
+    Rows go by id alone: where one id stands on rows of different texts, they are linked as one document, and if one of them is a
+    near copy of a smaller id, all of them go, unique ones too.
+    """
     gone = near_duplicates(docs, words_per_shingle=5, percent=80).where("not kept").select("doc_id")
     gone = Staging(spark, "pipeline").write(gone.distinct(), "near")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
