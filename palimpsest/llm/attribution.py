@@ -13,7 +13,9 @@ that ends it. Spans in characters are those of the text; a token that holds only
 by its bytes.
 
 Defined results: a null or empty text has one empty section without tokens; a text that ends in a line feed has
-no empty section behind it; rows of one id are documents of their own; no rows give no rows.
+no empty section behind it; rows of one id are documents of their own; a null id is carried along; very long texts
+and runs of white space are encoded whole like any others; other columns are left out and may have any name; no rows
+give no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,9 @@ from .wordids import one_array, slices
 
 SECTIONS = "doc_id long, section int, start_char long, end_char long, n_tokens double, n_crossing long, doc_tokens long"
 _encodings: dict[tuple[str, str], tuple] = {}
+#: A text with a longer run of white space is cut into pieces here: the library's matcher recurses over such a run.
+LONG_RUN = 4096
+_long_run = regex.compile(rf"\s{{{LONG_RUN}}}")
 
 
 def byte_encoding(ranks_path: str, pattern: str):
@@ -47,6 +53,13 @@ def byte_encoding(ranks_path: str, pattern: str):
     return _encodings[key]
 
 
+def token_ids(encoding, pattern: str, text: str) -> list[int]:
+    """The ids of a whole text, whatever it holds."""
+    if len(text) < LONG_RUN or not _long_run.search(text):
+        return encoding.encode_ordinary(text)
+    return [i for piece in regex.finditer(pattern, text) for i in encoding._encode_single_piece(piece.group())]
+
+
 def attributed(ends: np.ndarray, bounds: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of each section, and how many of its tokens go on into a later one.
 
@@ -84,11 +97,11 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "
         encoding, sizes = byte_encoding(ranks_path, pattern)
         for batch in batches:
             texts = one_array(batch.column(1))
-            for lo, hi in slices(texts, 4 << 20):
+            for lo, hi in slices(texts):
                 keys, columns = batch.column(0).slice(lo, hi - lo), []
                 for i, text in enumerate(texts.slice(lo, hi - lo).to_pylist()):
                     raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-                    ids = np.array(encoding.encode_ordinary(text or ""), dtype=np.int64)
+                    ids = np.array(token_ids(encoding, pattern, text or ""), dtype=np.int64)
                     bounds = np.flatnonzero(raw == 10) + 1
                     bounds = np.concatenate([[0], bounds, [len(raw)] if not len(bounds) or bounds[-1] < len(raw) else []]).astype(np.int64)
                     counts, crossing = attributed(np.cumsum(sizes[ids]), bounds, rule)
