@@ -1,9 +1,13 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
 A record is a JSON object. Its fingerprint is the SHA-256 of its nested field paths: the variant schema with all
-scalar types made equal, so values, types of leaves and the order of keys don't matter. Each declared layout states its paths and how they give turns; a record's
-fingerprint selects the layout. Records of unknown fingerprint, and text that is no JSON, are no turns;
-``unmatched`` lists them.
+scalar types made equal, so values, types of leaves and the order of keys don't matter. Each declared layout states its
+paths and how they give turns; a record's fingerprint selects the layout, whose paths are then read from the record.
+Records of unknown fingerprint, and text that is no JSON, are no turns; ``unmatched`` lists them.
+
+A variant holds at most 16 MiB, so of a record over ``WHOLE`` bytes the fingerprint is taken from its outline: strings
+other than declared names become one mark, and equal objects that follow each other stand once. That changes no
+declared path, and no record is too long to be read.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles and texts any ``<``, backslashes,
 ``|`` gains one backslash before the bar, so no control string can stand there; reading back takes one away. A line
@@ -27,6 +31,13 @@ from pyspark.sql import functions as F
 
 START, END, BREAK = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
 TURN = "struct<role: string, text: string>"
+#: Bytes of a record up to which its fingerprint is taken from all of it.
+WHOLE = 1 << 20
+#: Stands for what is not a declared name, and for an escape, in an outline.
+MARK = "~"
+#: Options of reading: texts of any length, and the name under which a broken record shows.
+BROKEN = "__broken"
+READING = {"maxStringLen": str((1 << 31) - 1), "columnNameOfCorruptRecord": BROKEN}
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -49,10 +60,22 @@ def fingerprint(record: Column) -> Column:
     return F.sha2(shape(record), 256)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def outline(record: Column, names: list[str]) -> Column:
+    """The record with a mark for all strings but ``names``, and without objects that stood before."""
+    plain = F.replace(F.replace(record, F.lit("\\\\"), F.lit(MARK)), F.lit('\\"'), F.lit(MARK))
+    parts = F.transform(F.split(plain, '"', -1), lambda s, i: F.when((i % 2 == 1) & ~s.isin(names), MARK).otherwise(s))
+    return F.array_join(F.array_distinct(F.split(F.array_join(parts, '"'), r"\},", -1)), "},")
+
+
 @dataclass(frozen=True)
 class Layout:
     """``sample``: the nested field paths; ``optional``: top-level names that may be missing;
-    ``turns``: from the variant to an array of turns."""
+    ``turns``: from the record, a struct of the sample's names with strings as leaves, to an array of turns."""
 
     name: str
     sample: dict
@@ -69,9 +92,24 @@ class Layout:
                     out.add(hashlib.sha256(shape_of(sample).encode()).hexdigest())
         return sorted(out)
 
+    def names(self) -> set[str]:
+        def below(value) -> set[str]:
+            inner = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
+            return (set(value) if isinstance(value, dict) else set()).union(*(below(v) for v in inner))
+
+        return below(self.sample)
+
+    def schema(self) -> str:
+        def kind(value) -> str:
+            if isinstance(value, dict):
+                return "struct<" + ", ".join(f"`{n}`: {kind(v)}" for n, v in value.items()) + ">"
+            return f"array<{kind(value[0])}>" if isinstance(value, list) else "string"
+
+        return f"{kind(self.sample)[:-1]}, `{BROKEN}`: string>"
 
-def _get(record: Column, name: str) -> Column:
-    return F.coalesce(F.try_variant_get(record, f"$.{name}", "string"), F.lit(""))
+    def read(self, record: Column) -> Column:
+        """The record's turns; null for a broken record."""
+        return _bound(F.from_json(record, self.schema(), READING), lambda said: F.when(said[BROKEN].isNull(), self.turns(said)))
 
 
 def _turn(role: Column | str, text: Column) -> Column:
@@ -79,31 +117,28 @@ def _turn(role: Column | str, text: Column) -> Column:
 
 
 def _pair(question: str, answer: str) -> Callable[[Column], Column]:
-    def turns(record: Column) -> Column:
-        system = F.try_variant_get(record, "$.system", "string")
-        both = F.array(_turn("user", _get(record, question)), _turn("assistant", _get(record, answer)))
-        return F.when(F.length(system) > 0, F.concat(F.array(_turn("system", system)), both)).otherwise(both)
+    def turns(said: Column) -> Column:
+        both = F.array(_turn("user", said[question]), _turn("assistant", said[answer]))
+        return F.when(F.length(said["system"]) > 0, F.concat(F.array(_turn("system", said["system"])), both)).otherwise(both)
 
     return turns
 
 
-def _instruction(record: Column) -> Column:
-    given = _get(record, "input")
-    asked = F.when(given == "", _get(record, "instruction")).otherwise(F.concat_ws("\n\n", _get(record, "instruction"), given))
-    return F.array(_turn("user", asked), _turn("assistant", _get(record, "output")))
+def _instruction(said: Column) -> Column:
+    asked = F.when(F.coalesce(said["input"], F.lit("")) == "", said["instruction"]).otherwise(F.concat(F.coalesce(said["instruction"], F.lit("")), F.lit("\n\n"), said["input"]))
+    return F.array(_turn("user", asked), _turn("assistant", said["output"]))
 
 
 def _messages(name: str, role: str, text: str) -> Callable[[Column], Column]:
-    def turns(record: Column) -> Column:
-        said = F.try_variant_get(record, f"$.{name}", f"array<struct<{role}: string, {text}: string>>")
+    def turns(said: Column) -> Column:
         named = F.create_map(*(F.lit(x) for pair in ROLES.items() for x in pair))
-        return F.transform(said, lambda m: _turn(F.coalesce(named[m[role]], m[role]), m[text]))
+        return F.transform(said[name], lambda m: _turn(F.coalesce(named[m[role]], m[role]), m[text]))
 
     return turns
 
 
 def _single(role: str, text: str) -> Callable[[Column], Column]:
-    return lambda record: F.array(_turn(F.try_variant_get(record, f"$.{role}", "string"), F.try_variant_get(record, f"$.{text}", "string")))
+    return lambda said: F.array(_turn(said[role], said[text]))
 
 
 LAYOUTS = [
@@ -119,11 +154,13 @@ LAYOUTS = [
 
 
 def _matched(records: DataFrame, record_col: str, layouts: list[Layout]) -> tuple[DataFrame, Column]:
-    parsed = F.try_parse_json(record_col)
+    record = F.col(record_col)
+    names = sorted(set().union(*(x.names() for x in layouts)))
+    parsed = F.try_parse_json(F.when(F.octet_length(record) > WHOLE, outline(record, names)).otherwise(record))
     turns = F.lit(None).cast(f"array<{TURN}>")
     for layout in reversed(layouts):
-        turns = F.when(F.col("__fingerprint").isin(layout.fingerprints()), layout.turns(F.col("__record"))).otherwise(turns)
-    return records.withColumn("__record", parsed).withColumn("__fingerprint", fingerprint(F.col("__record"))), turns
+        turns = F.when(F.col("__fingerprint").isin(layout.fingerprints()), layout.read(record)).otherwise(turns)
+    return records.withColumn("__fingerprint", fingerprint(parsed)), turns
 
 
 def canonical_turns(records: DataFrame, conv_col: str = "conv_id", record_col: str = "record", order_col: str | None = None, layouts: list[Layout] | None = None) -> DataFrame:
@@ -136,9 +173,9 @@ def canonical_turns(records: DataFrame, conv_col: str = "conv_id", record_col: s
 
 
 def unmatched(records: DataFrame, record_col: str = "record", layouts: list[Layout] | None = None) -> DataFrame:
-    """Records of no known layout, with their fingerprint (null: no JSON)."""
+    """Records of no known layout, with their fingerprint (null: no JSON; over ``WHOLE`` bytes that of the outline)."""
     rows, turns = _matched(records, record_col, layouts or LAYOUTS)
-    return rows.withColumn("fingerprint", F.col("__fingerprint")).where(turns.isNull()).drop("__record", "__fingerprint")
+    return rows.withColumn("fingerprint", F.col("__fingerprint")).where(turns.isNull()).drop("__fingerprint")
 
 
 def escaped(text: Column) -> Column:
