@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
 from .operators.topology import read_config
-from .plans.repository import Repository
+from .plans.repository import Repository, find_root
 from .session import build_session
 
 
+#: Seconds after which a command takes another one's open transaction or half-written file for abandoned.
+STALE = 3600.0
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="palimpsest", description=__doc__)
-    top.add_argument("-r", "--root", default=".", help="the repository's folder, at any path that Spark reaches")
+    top.add_argument("-r", "--root", default=".", help="the repository's folder or one below it, at any path that Spark reaches")
     commands = top.add_subparsers(dest="command", required=True)
 
     def add(name: str, about: str, *arguments: tuple) -> None:
@@ -43,9 +48,13 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(arguments)
     spark = spark or build_session()
-    repo = Repository(spark, args.root)
-    if args.command not in ("init", "rebasin"):
-        repo.recover()
+    root = args.root if args.command in ("init", "rebasin") else find_root(spark, os.path.abspath(args.root) if "://" not in args.root and not args.root.startswith("file:") else args.root)
+    if root is None:
+        print(f"no repository at {args.root} or above", file=sys.stderr)
+        return 2
+    repo = Repository(spark, root)
+    if args.command not in ("init", "rebasin", "recover"):
+        repo.recover(STALE)
     if args.command == "init":
         repo.init()
     elif args.command == "commit":
@@ -69,6 +78,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         print(*repo.merge(args.source, args.message))
     elif args.command == "rebasin":
         repo.rebasin(args.a, args.b, args.out, args.alpha, read_config(spark, args.config) if args.config else None)
+    elif args.command == "recover":
+        print(json.dumps(repo.recover()))
     elif args.command in ("push", "pull"):
         print(getattr(repo, args.command)(Repository(spark, args.remote), args.branch))
     elif args.command == "ls":

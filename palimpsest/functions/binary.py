@@ -1,4 +1,4 @@
-"""Hashes, byte-wise exclusive or, tagged compression, and tensor element types."""
+"""Hashes, byte-wise exclusive or, compression, and tensor element types."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import struct
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType
 
 # Element types of the tensor file format: (bytes, NumPy type); BF16 has no NumPy type (fixed values).
@@ -56,24 +57,31 @@ def exclusive_or(a: bytes, b: bytes) -> bytes:
     return np.bitwise_xor(np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)).tobytes()
 
 
+#: What the first byte of compressed bytes says.
+STORED, ZSTANDARD, DEFLATE = 0, 1, 2
+
+
 def compress(data: bytes, level: int = 3) -> bytes:
-    """Compressed bytes behind a tag of four letters."""
+    """The shorter of the bytes and their compressed form, behind a byte that says which it is."""
     try:
         import zstandard
     except ImportError:
-        return b"ZLIB" + zlib.compress(data, min(level, 9))
-    return b"ZSTD" + zstandard.ZstdCompressor(level=level).compress(data)
+        codec, packed = DEFLATE, zlib.compress(data, level)
+    else:
+        codec, packed = ZSTANDARD, zstandard.compress(data, level)
+    return bytes([codec]) + packed if len(packed) < len(data) else bytes([STORED]) + data
 
 
 def decompress(data: bytes) -> bytes:
-    """The inverse; bytes without a tag come back as they are."""
-    if data[:4] == b"ZLIB":
-        return zlib.decompress(data[4:])
-    if data[:4] == b"ZSTD":
+    """The inverse of ``compress``."""
+    codec, packed = data[0], data[1:]
+    if codec == ZSTANDARD:
         import zstandard
 
-        return zstandard.ZstdDecompressor().decompressobj().decompress(data[4:])
-    return data
+        return zstandard.decompress(packed)
+    if codec not in (STORED, DEFLATE):
+        raise ValueError(f"unknown codec {codec}")
+    return packed if codec == STORED else zlib.decompress(packed)
 
 
 def pack_u64(n: int) -> bytes:
@@ -84,21 +92,34 @@ def unpack_u64(raw: bytes) -> int:
     return struct.unpack("<Q", raw[:8])[0]
 
 
-def _each(function, *columns: pd.Series) -> pd.Series:
-    return pd.Series([None if any(x is None for x in row) else function(*row) for row in zip(*columns, strict=True)], dtype=object)
+def _each(function, data: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else function(x) for x in data.to_numpy(zero_copy_only=False)], pa.binary())
+
+
+def _bytes_of(data: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' bytes end to end, and their bounds."""
+    bounds = np.frombuffer(data.buffers()[1], dtype=np.int32)[data.offset : data.offset + len(data) + 1]
+    raw = data.buffers()[2]
+    return (np.frombuffer(raw, dtype=np.uint8) if raw else np.zeros(0, np.uint8))[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-@pandas_udf(BinaryType())
-def xor_column(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Byte-wise exclusive or of columns of equal lengths; null for null."""
-    return _each(exclusive_or, a, b)
+@arrow_udf(BinaryType())
+def xor_column(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Byte-wise exclusive or of columns of equal lengths, a batch at once; null for null."""
+    valid = pc.and_(a.is_valid(), b.is_valid())
+    x, y = (pc.if_else(valid, z, pa.scalar(b"", pa.binary())) for z in (a, b))
+    (p, bounds), (q, others) = _bytes_of(x), _bytes_of(y)
+    if not np.array_equal(bounds, others):
+        raise ValueError("lengths differ")
+    mixed = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(np.bitwise_xor(p, q))])
+    return pc.if_else(valid, mixed, pa.scalar(None, pa.binary()))
 
 
-@pandas_udf(BinaryType())
-def compress_column(data: pd.Series) -> pd.Series:
+@arrow_udf(BinaryType())
+def compress_column(data: pa.Array) -> pa.Array:
     return _each(compress, data)
 
 
-@pandas_udf(BinaryType())
-def decompress_column(data: pd.Series) -> pd.Series:
+@arrow_udf(BinaryType())
+def decompress_column(data: pa.Array) -> pa.Array:
     return _each(decompress, data)

@@ -15,21 +15,21 @@ def digest(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def manifest_bytes(tensors: dict, metadata: dict | None = None, config_hash: str | None = None, base_commit_id: str | None = None) -> bytes:
-    return canonical({"type": "manifest", "metadata": metadata or {}, "config_hash": config_hash, "base_commit_id": base_commit_id, "tensors": tensors})
+def manifest_bytes(tensors: dict, metadata: dict | None = None, header: str | None = None) -> bytes:
+    """``header``: the hash of the file's own header."""
+    return canonical({"tensors": tensors, "metadata": metadata or {}} | ({"header": header} if header else {}))
 
 
-def commit_bytes(manifest_hash: str, parent_ids: list[str], message: str, author: str, timestamp: float) -> bytes:
-    return canonical({"type": "commit", "manifest_hash": manifest_hash, "parent_ids": parent_ids, "message": message, "author": author, "timestamp": timestamp})
+def read_manifest(data: bytes) -> dict:
+    return {"tensors": {}, "metadata": {}, "header": None} | json.loads(data)
 
 
-def read_manifest(data: bytes) -> dict:
-    found = json.loads(data)
-    return {"metadata": found.get("metadata") or {}, "config_hash": found.get("config_hash"), "base_commit_id": found.get("base_commit_id"), "tensors": found.get("tensors") or {}}
+def commit_bytes(manifest_hash: str, parents: list[str], message: str, author: str, at: float) -> bytes:
+    return canonical({"manifest": manifest_hash, "parents": parents, "message": message, "author": author, "at": at})
 
 
 def read_commit(data: bytes) -> dict:
     found = json.loads(data)
-    if not isinstance(found, dict) or "manifest_hash" not in found:
+    if not isinstance(found, dict) or "manifest" not in found:
         raise ValueError("a commit names its manifest")
-    return {"manifest_hash": found["manifest_hash"], "parent_ids": found.get("parent_ids") or [], "message": found.get("message", ""), "author": found.get("author", ""), "timestamp": found.get("timestamp", 0.0)}
+    return {"parents": [], "message": "", "author": "", "at": 0.0} | found

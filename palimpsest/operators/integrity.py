@@ -12,10 +12,11 @@ def classify(refs: DataFrame, objects: DataFrame) -> DataFrame:
     """hash, type, state (ok, missing, tampered), size for each distinct referenced hash.
 
     ``refs`` (hash, type, ord): a hash that several refs name takes the type of the least ord. ``objects``
-    (hash, data).
+    (hash, data): a hash that stands several times counts once, by its intact copy if it has one.
     """
     once = refs.groupBy("hash").agg(F.min_by("type", "ord").alias("type"))
-    found = objects.select("hash", (content_hash(F.col("data")) == F.col("hash")).alias("intact"), F.octet_length("data").cast("long").alias("size"))
+    stored = objects.select("hash", F.coalesce(content_hash(F.col("data")) == F.col("hash"), F.lit(False)).alias("intact"), F.octet_length("data").cast("long").alias("size"))
+    found = stored.groupBy("hash").agg(F.max("intact").alias("intact"), F.max_by("size", "intact").alias("size"))
     state = F.when(F.col("intact").isNull(), "missing").when(F.col("intact"), "ok").otherwise("tampered")
     return once.join(found, "hash", "left").select("hash", "type", state.alias("state"), "size")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import io
 import os
 from collections.abc import Callable
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from .offsets import number_buckets, running_before
 
 
-def layout(parts: DataFrame, order_col: str, size_col: str, buckets: int = 64, origin: int = 0) -> DataFrame:
+def layout(parts: DataFrame, order_col: str, size_col: str, buckets: int | None = None, origin: int = 0) -> DataFrame:
     """Add ``start`` and ``end``: the parts' places, end to end from ``origin``, in the order of a numeric column."""
     placed = running_before(parts, [F.col(order_col)], F.col(size_col).cast("long"), number_buckets(parts, order_col, buckets), "__start")
     start = F.col("__start") + F.lit(origin)
@@ -75,6 +76,25 @@ def read_ranges(requests: DataFrame, intervals: DataFrame, total: int, header: b
     return joined.mapInPandas(fill, "req_id long, data binary")
 
 
+def ranged(places: list[tuple[int, int, str | None]], head: bytes, fetch: Callable[[str], bytes]) -> Callable[[int, int], bytes]:
+    """A function (offset, size) -> bytes over places (start, end, name; the header's without a name), which come in order and
+    don't overlap. ``fetch`` gives a name's bytes; gaps are zeros."""
+    ends = [end for _, end, _ in places]
+
+    def read_at(offset: int, size: int) -> bytes:
+        stop = min(offset + size, ends[-1])
+        out = bytearray(max(0, stop - offset))
+        for start, end, name in places[bisect.bisect_right(ends, offset) :]:
+            if start >= stop:
+                break
+            lo, hi = max(start, offset), min(end, stop)
+            if lo < hi:
+                out[lo - offset : hi - offset] = (head if name is None else fetch(name))[lo - start : hi - start]
+        return bytes(out)
+
+    return read_at
+
+
 class VirtualFile(io.RawIOBase):
     """A seekable read-only file over a function (offset, size) -> bytes."""
 

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 SCHEMA = "tx_id string, seq bigint, status string, kind string, at double, payload string"
 
 
@@ -49,18 +51,18 @@ class Journal:
         self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
     def events(self) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(self.path) if files.exists(self.spark, self.path) else self.spark.createDataFrame([], SCHEMA)
 
     def begin(self, kind: str, details: dict | None = None) -> str:
         tx_id = uuid.uuid4().hex
         self._append(tx_id, "PREPARING", kind, json.dumps(details or {}, sort_keys=True))
         return tx_id
 
-    def record_blob(self, tx_id: str, key: str) -> None:
-        self._append(tx_id, "BLOB", payload=key)
+    def record_blobs(self, tx_id: str, objects: DataFrame) -> None:
+        """Note the objects (column hash) that a transaction stores."""
+        rows = objects.where("hash is not null").select("hash").distinct()
+        made = rows.select(F.lit(tx_id).alias("tx_id"), F.lit(time.time_ns()).alias("seq"), F.lit("BLOB").alias("status"), F.lit("").alias("kind"), F.lit(time.time()).alias("at"), F.col("hash").alias("payload"))
+        made.coalesce(1).write.mode("append").parquet(self.path)
 
     def mark_committed(self, tx_id: str, commit_id: str) -> None:
         self._append(tx_id, "COMMITTED", payload=commit_id)
@@ -68,10 +70,12 @@ class Journal:
     def close(self, tx_id: str) -> None:
         self._append(tx_id, "CLOSED")
 
-    def recover(self) -> dict[str, int]:
-        """Close whatever is open; how many were aborted and completed."""
-        pending = open_transactions(self.events())
+    def recover(self, older_than: float = 0.0) -> dict[str, int]:
+        """Close what has been open for ``older_than`` seconds; how many were aborted and completed."""
+        pending = open_transactions(self.events()).where(F.col("created_at") <= time.time() - older_than).persist()
         found = recovery_report(pending).first().asDict()
-        for (tx_id,) in pending.select("tx_id").collect():  # the transactions of crashed writers
-            self.close(tx_id)
+        if sum(found.values()):
+            made = pending.select("tx_id", F.lit(time.time_ns()).alias("seq"), F.lit("CLOSED").alias("status"), F.lit("").alias("kind"), F.lit(time.time()).alias("at"), F.lit("").alias("payload"))
+            made.coalesce(1).write.mode("append").parquet(self.path)
+        pending.unpersist()
         return found

@@ -6,11 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def number_buckets(df: DataFrame, column: str, parts: int) -> Column:
-    """An order-preserving bucket of a numeric column: equal widths between its least and largest value."""
-    least, most = df.agg(F.min(column), F.max(column)).first()
-    width = max(1, -(-(int(most) - int(least) + 1) // parts)) if least is not None else 1
-    return F.floor((F.col(column) - F.lit(least or 0)) / F.lit(width))
+#: Rows of a bucket aimed at, and buckets at least and at most.
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 500_000, 64, 2048
+
+
+def number_buckets(df: DataFrame, column: str, parts: int | None = None) -> Column:
+    """An order-preserving bucket of a numeric column, by its sampled quantiles: about as many rows each, wherever the
+    values lie. ``parts``: by default one for every ``BUCKET_ROWS`` rows, within bounds."""
+    if parts is None:
+        parts = min(MOST_BUCKETS, max(LEAST_BUCKETS, df.count() // BUCKET_ROWS))
+    marks = df.agg(F.percentile_approx(column, [k / parts for k in range(1, parts)], 10 * parts).alias("marks")).first()["marks"]
+    if not marks:
+        return F.lit(0)
+    held = F.array(*(F.lit(m) for m in sorted(set(marks))))
+    return F.size(F.filter(held, lambda mark: mark <= F.col(column)))
 
 
 def running_before(df: DataFrame, order: list[Column], amount: Column, bucket: Column, name: str) -> DataFrame:

@@ -14,7 +14,8 @@ def missing(required: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def transfer(wanted: DataFrame, source: DataFrame) -> DataFrame:
-    """hash, data of the wanted objects of a source; an object that doesn't match its hash raises an error."""
+    """hash, data of the wanted objects of a source, each once; one without an intact copy raises an error."""
     found = source.join(wanted.select("hash").distinct(), "hash", "left_semi").select("hash", "data")
-    intact = content_hash(F.col("data")) == F.col("hash")
-    return found.withColumn("data", F.when(intact, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("altered object "), F.col("hash")))))
+    intact = F.coalesce(content_hash(F.col("data")) == F.col("hash"), F.lit(False))
+    once = found.withColumn("intact", intact).groupBy("hash").agg(F.max_by("data", "intact").alias("data"), F.max("intact").alias("intact"))
+    return once.select("hash", F.when(F.col("intact"), F.col("data")).otherwise(F.raise_error(F.concat(F.lit("altered object "), F.col("hash"))).cast("binary")).alias("data"))

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.binary import compress_column, content_hash, decompress_column, xor_column
-from ..operators import cache, graph, integrity, intervals, journal, merge, similarity, topology, transfer
+from ..operators import alignment, cache, graph, integrity, intervals, journal, merge, similarity, topology, transfer
 from ..operators.offsets import number_buckets
-from ..sources.objects import dedup_report, shard_report
+from ..session import new_folder
+from ..sources import tensorfile
+from ..sources.objects import ObjectStore, dedup_report
+from .repository import COMMITS, ENTRIES, REFS, Repository
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -48,10 +51,26 @@ def object_dedup(spark, sf_dir):
     return dedup_report(hashed(spark, sf_dir))
 
 
+def _stored(spark, docs: DataFrame) -> ObjectStore:
+    """A store of some documents' texts."""
+    store = ObjectStore(spark, new_folder(spark, "objects"))
+    store.put(docs, "text")
+    return store
+
+
+@query("""SELECT DISTINCT sha256(text) AS hash, strlen(text) AS size, true AS intact FROM documents WHERE text IS NOT NULL""")
+def object_store(spark, sf_dir):
+    """All texts put twice, and read back with their checks."""
+    docs = table(spark, sf_dir, "documents")
+    store = _stored(spark, docs)
+    store.put(docs, "text")
+    return store.contents().select("hash", F.octet_length("data").cast("long").alias("size"), "intact")
+
+
 @query("""SELECT substr(hash, 1, 2) AS shard, count(*) AS n_objects, CAST(sum(size) AS BIGINT) AS bytes
 FROM (SELECT DISTINCT sha256(text) AS hash, strlen(text) AS size FROM documents) GROUP BY 1""")
 def object_shards(spark, sf_dir):
-    return shard_report(hashed(spark, sf_dir))
+    return _stored(spark, table(spark, sf_dir, "documents")).shards()
 
 
 @query("""SELECT sha256(text) AS hash FROM documents EXCEPT SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)""")
@@ -61,10 +80,11 @@ def missing_objects(spark, sf_dir):
     return transfer.missing(docs, labelled)
 
 
-@query("""SELECT doc_id, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AS present FROM documents d""")
+@query("""SELECT doc_id, sha256(text) AS hash FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))""")
 def object_presence(spark, sf_dir):
-    known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("present", F.lit(True))
-    return table(spark, sf_dir, "documents").select("doc_id").join(known, "doc_id", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    """Which documents a store of the labelled ones has."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id")
+    return _stored(spark, docs.join(labels, "doc_id", "left_semi")).present(hashed(spark, sf_dir, "doc_id")).select("doc_id", "hash")
 
 
 LAYOUT = """layout AS (SELECT doc_id, CAST(coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start", CAST(sum(strlen(text)) OVER (ORDER BY doc_id) AS BIGINT) AS "end" FROM documents)"""
@@ -80,13 +100,23 @@ asked AS (SELECT event_id AS req_id, (event_id * 7919) % n AS o, event_id % 997
 SELECT req_id, count(*) AS n_parts, CAST(sum(least(o + s, "end") - greatest(o, "start")) AS BIGINT) AS n_bytes, min(doc_id) AS first_doc, max(doc_id) AS last_doc
 FROM asked JOIN layout ON o < "end" AND "start" < o + s WHERE s > 0 AND "end" > "start" GROUP BY 1""")
 def range_read(spark, sf_dir):
-    parts = intervals.layout(hashed(spark, sf_dir, "doc_id"), "doc_id", "size").select("doc_id", "start", "end")
+    parts = graph.checkpointed(intervals.layout(hashed(spark, sf_dir, "doc_id"), "doc_id", "size").select("doc_id", "start", "end"))
     total = intervals.file_size(parts)
     asked = table(spark, sf_dir, "events").select(F.col("event_id").alias("req_id"), ((F.col("event_id") * 7919) % F.lit(max(1, total))).alias("offset"), (F.col("event_id") % 997).alias("size"))
     met = intervals.overlaps(asked, parts)
     return met.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_parts"), F.sum(F.col("hi") - F.col("lo")).alias("n_bytes"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
+@query("""SELECT doc_id // 3 AS req_id, sha256(string_agg(text, '' ORDER BY doc_id)) AS sha256, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+def range_bytes(spark, sf_dir):
+    """The bytes of ranges that cover three documents each, read from the file that all documents make."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.col("text").cast("binary").alias("data"), F.octet_length("text").cast("long").alias("size"))
+    places = graph.checkpointed(intervals.layout(docs.drop("data"), "doc_id", "size").select("doc_id", "start", "end"))
+    asked = places.groupBy(F.floor(F.col("doc_id") / 3).alias("req_id")).agg(F.min("start").alias("offset"), (F.max("end") - F.min("start")).alias("size"))
+    read = intervals.read_ranges(asked, places.join(docs.select("doc_id", "data"), "doc_id"), intervals.file_size(places))
+    return read.select("req_id", F.sha2("data", 256).alias("sha256"), F.octet_length("data").cast("long").alias("n_bytes"))
+
+
 @query(f"""WITH RECURSIVE {EDGES}, reached AS (SELECT doc_id AS node, 0 AS depth FROM documents WHERE doc_id NOT IN (SELECT parent FROM edges)
 UNION SELECT parent, depth + 1 FROM reached JOIN edges ON child = node)
 SELECT node, CAST(min(depth) AS BIGINT) AS depth FROM reached GROUP BY 1""")
@@ -119,19 +149,42 @@ def merge_status(spark, sf_dir):
     return _pairs(spark, sf_dir).groupBy(merge.merge_status(F.col("a"), F.col("b"), F.col("ancestor")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _history(spark, sf_dir) -> Repository:
+    """A repository whose commits are the documents: parents as in ``commit_edges``, a branch for each language at its
+    largest document, and a manifest for each text with one blob, named by the document's source."""
+    repo = Repository(spark, new_folder(spark, "history"))
+    repo.init()
+    docs, edges = hashed(spark, sf_dir, "doc_id", "lang", "source"), commit_edges(spark, sf_dir)
+    parents = edges.groupBy(F.col("child").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "parent"))), lambda x: x["parent"].cast("string")).alias("parent_ids"))
+    made = {"commit_id": F.col("doc_id").cast("string"), "manifest_hash": F.col("hash"), "header_hash": F.lit(None).cast("string"), "message": F.concat("lang", F.lit(" from "), "source"), "author": F.col("source"), "ts": F.col("doc_id").cast("double")}
+    rows = docs.join(parents, "doc_id", "left").withColumn("parent_ids", F.coalesce("parent_ids", F.array().cast("array<string>"))).withColumns(made)
+    names = lambda schema: [f.split()[0] for f in schema.split(", ")]
+    rows.select(*names(COMMITS)).write.mode("append").parquet(f"{repo.root}/commits")
+    entry = {f.split()[0]: F.lit(None).cast(f.split()[1]) for f in ENTRIES.split(", ")} | {"manifest_hash": F.col("hash"), "name": F.lit("text"), "blob_hash": F.sha2("source", 256), "is_delta": F.lit(False)}
+    docs.select(*(c.alias(n) for n, c in entry.items())).write.mode("append").parquet(f"{repo.root}/entries")
+    heads = docs.groupBy("lang").agg(F.max("doc_id").cast("string").alias("target")).select(F.concat(F.lit("heads/"), "lang").alias("name"), "target", F.lit(1).cast("long").alias("seq"))
+    heads.unionAll(docs.agg(F.lit("heads/main"), F.max("doc_id").cast("string"), F.lit(1).cast("long"))).select(*names(REFS)).write.mode("append").parquet(f"{repo.root}/refs")
+    return repo
+
+
 @query(f"""WITH RECURSIVE {EDGES}, reached AS (SELECT lang AS branch, max(doc_id) AS node FROM documents GROUP BY 1
 UNION SELECT branch, parent FROM reached JOIN edges ON child = node)
-SELECT branch, count(DISTINCT hash) AS n_objects FROM (
-  SELECT branch, CAST(node AS VARCHAR) AS hash FROM reached UNION ALL SELECT branch, sha256(text) FROM reached JOIN documents ON doc_id = node) GROUP BY 1""")
+SELECT branch, count(DISTINCT node) AS n_commits, count(DISTINCT sha256(text)) AS n_manifests, count(DISTINCT source) AS n_blobs FROM reached JOIN documents ON doc_id = node GROUP BY 1""")
 def closure_objects(spark, sf_dir):
-    docs = hashed(spark, sf_dir, "doc_id", "lang")
-    edges = commit_edges(spark, sf_dir)
-    text = lambda c: F.col(c).cast("string")
-    parents = edges.groupBy(text("child").alias("commit_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", text("parent").alias("parent")))), lambda x: x["parent"]).alias("parent_ids"))
-    commits = docs.select(text("doc_id").alias("commit_id"), F.col("hash").alias("manifest_hash")).join(parents, "commit_id", "left")
-    heads = docs.groupBy(F.col("lang").alias("branch")).agg(F.max("doc_id").cast("string").alias("node"))
-    none = docs.select(F.col("hash").alias("manifest_hash"), "hash").limit(0)
-    return graph.required_objects(heads, commits, none).groupBy("branch").agg(F.count(F.lit(1)).alias("n_objects"))
+    """What each branch needs, by type."""
+    repo, out = _history(spark, sf_dir), None
+    for branch in repo.branches():  # a branch for each language
+        if branch != "main":
+            kinds = repo.references([repo.branch_commit(branch)]).agg(*(F.count_if(F.col("type") == k).alias(n) for k, n in (("commit", "n_commits"), ("manifest", "n_manifests"), ("blob", "n_blobs"))))
+            rows = kinds.select(F.lit(branch).alias("branch"), "*")
+            out = rows if out is None else out.unionAll(rows)
+    return out
+
+
+@query(f"""WITH RECURSIVE {EDGES}, reached AS (SELECT max(doc_id) AS node, 0 AS depth FROM documents UNION SELECT parent, depth + 1 FROM reached JOIN edges ON child = node)
+SELECT CAST(node AS VARCHAR) AS commit_id, min(lang || ' from ' || source) AS message, min(source) AS author, strftime(make_timestamp(node * 1000000), '%Y-%m-%d %H:%M:%S') AS at, CAST(min(depth) AS BIGINT) AS depth FROM reached JOIN documents ON doc_id = node GROUP BY node""")
+def commit_log(spark, sf_dir):
+    return _history(spark, sf_dir).log().select("commit_id", "message", "author", "at", "depth")
 
 
 SIDES = """base AS (SELECT doc_id AS name, sha256(text) AS entry, lang, source FROM documents),
@@ -173,16 +226,75 @@ def journal_recovery(spark, sf_dir):
     return journal.recovery_report(table(spark, sf_dir, "events").select(F.col("event_id").alias("tx_id"), status.alias("status")))
 
 
-@query("""WITH target AS (SELECT doc_id AS name, n_chars AS shape, strlen(text) AS size FROM documents),
-base AS (SELECT doc_id AS name, CASE WHEN lang = 'fr' THEN n_chars + 1 ELSE n_chars END AS shape FROM documents WHERE source <> 'src4')
-SELECT count(*) AS n_tensors, count(base.name) AS n_deltas, CAST(sum(size) AS BIGINT) AS target_bytes, CAST(coalesce(sum(size) FILTER (base.name IS NULL), 0) AS BIGINT) AS raw_bytes,
-round(coalesce(sum(size) FILTER (base.name IS NULL), 0) / sum(size), 6) AS raw_ratio FROM target LEFT JOIN base ON target.name = base.name AND target.shape = base.shape""")
+@query("""WITH tx AS (SELECT user_id AS tx_id, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'COMMITTED' WHEN 'error' THEN 'CLOSED' WHEN 'view' THEN 'PREPARING' ELSE 'BLOB' END AS status, props AS payload FROM events),
+state AS (SELECT tx_id, arg_max(status, seq) FILTER (status <> 'BLOB') AS status, count(DISTINCT payload) FILTER (status = 'BLOB') AS n_blobs FROM tx GROUP BY 1)
+SELECT CAST(tx_id AS VARCHAR) AS tx_id, status, n_blobs FROM state WHERE status IS DISTINCT FROM 'CLOSED'""")
+def journal_states(spark, sf_dir):
+    """The open transactions of a journal whose events are those of the users."""
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "COMMITTED").when(kind == "error", "CLOSED").when(kind == "view", "PREPARING").otherwise("BLOB")
+    events = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tx_id"), F.col("event_id").alias("seq"), status.alias("status"), F.lit("commit").alias("kind"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("at"), F.col("props").alias("payload"))
+    return journal.open_transactions(events).select("tx_id", "status", F.size("blobs").cast("long").alias("n_blobs"))
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(base, target): the documents as tensors of bytes, and an edition in which some are longer and some are missing."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    tensors = lambda df, text: df.select(F.col("doc_id").cast("string").alias("name"), F.lit("U8").alias("dtype"), F.array(F.octet_length(text).cast("long")).alias("shape"), text.cast("binary").alias("data"))
+    edited = F.translate("text", "e", "o")
+    return tensors(docs.where("source <> 'src4'"), F.when(F.col("lang") == "fr", F.concat(edited, F.lit("!"))).otherwise(edited)), tensors(docs, F.col("text"))
+
+
+@query("""SELECT count(*) AS n_tensors, count(*) FILTER (lang <> 'fr' AND source <> 'src4') AS n_deltas, CAST(sum(strlen(text)) AS BIGINT) AS target_bytes, CAST(coalesce(sum(strlen(text)) FILTER (NOT (lang <> 'fr' AND source <> 'src4')), 0) AS BIGINT) AS raw_bytes
+FROM (SELECT text, coalesce(lang, '') AS lang, coalesce(source, 'src4') AS source FROM documents WHERE text IS NOT NULL)""")
 def delta_manifest_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    target = docs.select(F.col("doc_id").alias("name"), F.col("n_chars").alias("shape"), F.octet_length("text").cast("long").alias("size"))
-    base = docs.where("source <> 'src4'").select(F.col("doc_id").alias("name"), F.when(F.col("lang") == "fr", F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("shape"), F.lit(True).alias("is_delta"))
-    raw = F.coalesce(F.sum(F.when(F.col("is_delta").isNull(), F.col("size"))), F.lit(0))
-    return target.join(base, ["name", "shape"], "left").agg(F.count(F.lit(1)).alias("n_tensors"), F.count("is_delta").alias("n_deltas"), F.sum("size").alias("target_bytes"), raw.alias("raw_bytes"), F.round(F.when(F.sum("size") > 0, raw / F.sum("size")).otherwise(1.0), 6).alias("raw_ratio"))
+    """Which tensors of a model become deltas to its base."""
+    entries = alignment.deltas(*_versions(spark, sf_dir), {})
+    delta, size = F.col("is_delta"), F.col("raw_bytes")
+    return entries.agg(F.count(F.lit(1)).alias("n_tensors"), F.count_if(delta).alias("n_deltas"), F.sum(size).alias("target_bytes"), F.coalesce(F.sum(F.when(~delta, size)), F.lit(0)).alias("raw_bytes"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS name, sha256(text) AS sha256, strlen(text) AS n_bytes FROM documents WHERE text IS NOT NULL""")
+def delta_restore(spark, sf_dir):
+    """A model from its base and its deltas, bit for bit."""
+    base, target = _versions(spark, sf_dir)
+    restored = alignment.restored(alignment.deltas(base, target, {}), base, {})
+    return restored.select("name", F.sha2("data", 256).alias("sha256"), F.octet_length("data").cast("long").alias("n_bytes"))
+
+
+BENCHMARK_FILE = """placed AS (SELECT 'item' || item_id AS name, text, strlen(text) AS size FROM benchmark)"""
+
+
+@query(f"""WITH {BENCHMARK_FILE} SELECT name, 'U8' AS dtype, size AS n_cells, CAST(coalesce(sum(size) OVER (ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "start", CAST(sum(size) OVER (ORDER BY name) AS BIGINT) AS "end", sha256(text) AS sha256 FROM placed""")
+def tensor_file(spark, sf_dir):
+    """The benchmark's texts as one checkpoint file, written and read back by ranges."""
+    path = f"{new_folder(spark, 'file')}.tensors"
+    tensorfile.write_tensors(_benchmark(spark, sf_dir, F.col("text")), path, {"made": "here"})
+    rows = tensorfile.read_tensors(spark, path)
+    return rows.select("name", "dtype", F.col("shape")[0].alias("n_cells"), "start", "end", F.sha2("data", 256).alias("sha256"))
+
+
+def _benchmark(spark, sf_dir, text) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark")
+    return rows.select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), F.lit("U8").alias("dtype"), F.array(F.octet_length(text).cast("long")).alias("shape"), text.cast("binary").alias("data"))
+
+
+@query(f"""WITH {BENCHMARK_FILE} SELECT name, sha256(translate(text, 'eo', 'oe')) AS sha256, size AS n_bytes, 'second, first' AS messages FROM placed""")
+def repository_checkout(spark, sf_dir):
+    """Two commits of the benchmark's texts, the second one as deltas, pulled in two steps and read from the copy."""
+    folder = new_folder(spark, "checkout")
+    repo, copy = Repository(spark, f"{folder}/repo"), Repository(spark, f"{folder}/copy")
+    for side in (repo, copy):
+        side.init()
+    for k, (text, message) in enumerate(((F.col("text"), "first"), (F.translate("text", "eo", "oe"), "second"))):
+        tensorfile.write_tensors(_benchmark(spark, sf_dir, text), f"{folder}/{k}.tensors")
+        repo.commit(f"{folder}/{k}.tensors", message)
+        copy.pull(repo)
+    copy.checkout("main")
+    if not copy.verify()["is_valid"]:
+        raise ValueError("the copy lacks objects")
+    messages = ", ".join(r["message"] for r in copy.log().collect())
+    return copy.tensors(copy.head()[1]).select("name", F.sha2("data", 256).alias("sha256"), F.octet_length("data").cast("long").alias("n_bytes"), F.lit(messages).alias("messages"))
 
 
 @query("""WITH x AS (SELECT o_custkey, o_orderkey, o_orderpriority, o_orderstatus, lead(o_orderkey) OVER w AS next_orderkey, lead(o_orderpriority) OVER w AS next_priority FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
@@ -246,28 +358,39 @@ def affinity_matrix(spark, sf_dir):
     return similarity.affinity(_neighbours(spark, sf_dir), "a", "b").withColumn("affinity", F.round("affinity", 4) + 0.0)
 
 
+def _models(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two models with a tensor for each vector: the vector itself, and the next one under its name."""
+    rows = table(spark, sf_dir, "embeddings")
+    return alignment.vectors_as_tensors(rows, "vec_id", "embedding"), alignment.vectors_as_tensors(rows.select((F.col("vec_id") - 1).alias("vec_id"), "embedding").where("vec_id >= 0"), "vec_id", "embedding")
+
+
 @query("""WITH p AS (SELECT x.vec_id, x.embedding AS a, y.embedding AS b FROM embeddings x LEFT JOIN embeddings y ON y.vec_id = x.vec_id + 1),
 u AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y, generate_subscripts(a, 1) - 1 AS pos, b IS NULL AS alone FROM p)
-SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CAST(CASE WHEN alone THEN x ELSE CAST(0.75 AS FLOAT) * x + CAST(0.25 AS FLOAT) * y END AS DOUBLE), 5) + 0.0 AS value FROM u""")
+SELECT CAST(vec_id AS VARCHAR) AS name, CAST(pos AS BIGINT) AS pos, round(CAST(CASE WHEN alone THEN x ELSE CAST(0.75 AS FLOAT) * x + CAST(0.25 AS FLOAT) * y END AS DOUBLE), 5) + 0.0 AS value FROM u""")
 def interpolate(spark, sf_dir):
-    mixed = similarity.interpolated(F.col("a"), F.col("b"), 0.25)
-    return _neighbours(spark, sf_dir).select("vec_id", F.posexplode(mixed).alias("pos", "value")).withColumn("value", F.round(F.col("value").cast("double"), 5) + 0.0)
+    a, b = _models(spark, sf_dir)
+    return alignment.tensor_values(alignment.interpolate(a, b, 0.25)).withColumn("value", F.round("value", 5) + 0.0)
 
 
-@query("""SELECT x.vec_id, round(list_distance(CAST(y.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))) + 1e-8), 6) AS energy FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1""")
+@query("""SELECT CAST(x.vec_id AS VARCHAR) AS name, round(list_distance(CAST(y.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(x.embedding AS DOUBLE[]), CAST(x.embedding AS DOUBLE[]))) + 1e-8), 6) AS energy FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1""")
 def residual_energy(spark, sf_dir):
-    return _neighbours(spark, sf_dir).where("b is not null").select("vec_id", F.round(similarity.residual_energy(F.col("b"), F.col("a")), 6).alias("energy"))
+    a, b = _models(spark, sf_dir)
+    return alignment.deltas(a, b, {}).select("name", F.round("energy", 6).alias("energy"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, xor(l_orderkey, l_partkey) AS delta, xor(xor(l_orderkey, l_partkey), l_orderkey) AS restored FROM lineitem""")
 def xor_delta(spark, sf_dir):
-    delta = F.col("l_orderkey").bitwiseXOR(F.col("l_partkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", delta.alias("delta"), delta.bitwiseXOR(F.col("l_orderkey")).alias("restored"))
+    """Keys as eight bytes each, their difference, and back."""
+    raw = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    number = lambda c: F.conv(F.hex(c), 16, 10).cast("long")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", raw("l_orderkey").alias("a"), raw("l_partkey").alias("b"))
+    made = rows.withColumn("d", xor_column("a", "b")).withColumn("r", xor_column("d", "a"))
+    return made.select("l_orderkey", "l_linenumber", number("d").alias("delta"), number("r").alias("restored"))
 
 
 @query("""SELECT doc_id, sha256(text) AS restored_sha256, strlen(text) AS n_bytes FROM documents""")
 def bytes_roundtrip(spark, sf_dir):
-    """Each text as a compressed difference to its own reverse, and back."""
+    """Each text as a compressed difference to a line of tildes of its length, and back."""
     data, base = F.col("text").cast("binary"), F.encode(F.rpad(F.lit(""), F.octet_length("text"), F.lit("~")), "utf-8")
     rows = table(spark, sf_dir, "documents").select("doc_id", data.alias("data"), base.alias("base"))
     packed = rows.select("doc_id", "base", compress_column(xor_column("base", "data")).alias("delta"))
@@ -275,30 +398,38 @@ def bytes_roundtrip(spark, sf_dir):
     return restored.select("doc_id", F.sha2("data", 256).alias("restored_sha256"), F.octet_length("data").cast("long").alias("n_bytes"))
 
 
-@query("""WITH items AS (SELECT user_id AS item, max(ts) AS last, arg_max(1000 + length(event_type) * 100 + user_id % 7, event_id) AS size FROM events GROUP BY 1),
-placed AS (SELECT item, size, coalesce(sum(size) OVER (ORDER BY last DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS newer FROM items)
-SELECT item, CAST(newer AS BIGINT) AS newer, newer + size <= 50000 OR newer = 0 AS is_resident FROM placed""")
-def lru_admission(spark, sf_dir):
+LRU = """items AS (SELECT user_id AS item, max(ts) AS last, arg_max(1000 + length(event_type) * 100 + user_id % 7, event_id) AS size FROM events GROUP BY 1),
+placed AS (SELECT item, size, coalesce(sum(size) OVER (ORDER BY last DESC, item ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS newer FROM items)"""
+
+
+def _resident(spark, sf_dir) -> DataFrame:
     size = 1000 + F.length("event_type") * 100 + F.col("user_id") % 7
     log = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", size.cast("long").alias("size"))
     items = log.groupBy(F.col("user_id").alias("item")).agg(F.max("ts").alias("last"), F.max_by("size", "event_id").alias("size"))
-    aged = items.withColumn("age", -F.unix_micros(F.col("last").cast("timestamp")))
-    placed = cache.resident(aged, 50_000, number_buckets(aged, "age", 64))
-    return placed.select("item", F.col("newer").cast("long").alias("newer"), "is_resident")
+    aged = graph.checkpointed(items.withColumn("age", -F.unix_micros(F.col("last").cast("timestamp"))))
+    return cache.resident(aged, 50_000, number_buckets(aged, "age"))
 
 
-@query("""SELECT event_id, substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) AS short_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, event_type || ' by ' || user_id AS message FROM events""")
-def commit_log(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.substring(F.sha2(F.col("event_id").cast("string"), 256), 1, 8).alias("short_id"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), F.concat("event_type", F.lit(" by "), F.col("user_id").cast("string")).alias("message"))
+@query(f"""WITH {LRU} SELECT item, CAST(newer AS BIGINT) AS newer, newer + size <= 50000 OR newer = 0 AS is_resident FROM placed""")
+def lru_admission(spark, sf_dir):
+    return _resident(spark, sf_dir).select("item", F.col("newer").cast("long").alias("newer"), "is_resident")
+
+
+@query(f"""WITH {LRU} SELECT count(*) AS n_items, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes, CAST(50000 AS INTEGER) AS capacity, round(100.0 * coalesce(sum(size), 0) / 50000, 6) AS utilization_pct FROM placed WHERE newer + size <= 50000 OR newer = 0""")
+def cache_statistics(spark, sf_dir):
+    return cache.cache_stats(_resident(spark, sf_dir), 50_000).withColumn("utilization_pct", F.round("utilization_pct", 6))
 
 
-@query()
+@query("""WITH layers AS (SELECT p_brand AS model, row_number() OVER w AS i, (p_size % 4 + 1) * 8 AS "out", CASE WHEN p_partkey % 5 = 0 THEN 8 ELSE lag((p_size % 4 + 1) * 8, 1, 8) OVER w END AS "into" FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+pairs AS (SELECT *, 'fc' || lpad(CAST(i AS VARCHAR), 6, '0') AS name, lead("into") OVER w AS next_into FROM layers WINDOW w AS (PARTITION BY model ORDER BY i))
+SELECT model, CAST(i - 1 AS INTEGER) AS ordinal, 'perm_group_' || (i - 1) || '_' || name AS group_id, CAST("out" AS BIGINT) AS size, name || '.weight' AS output, name || '.bias' AS vectors, 'fc' || lpad(CAST(i + 1 AS VARCHAR), 6, '0') || '.weight' AS input FROM pairs WHERE "out" = next_into""")
 def topology_groups(spark, sf_dir):
     """Groups of models whose layers are sized by the part table's sizes: one model a brand."""
     parts = table(spark, sf_dir, "part")
     width = (F.col("p_size") % 4 + 1) * 8
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    layers = parts.select(F.col("p_brand").alias("model"), F.row_number().over(w).alias("i"), width.cast("long").alias("out"), F.lag(width, 1, 8).over(w).cast("long").alias("into"))
+    into = F.when(F.col("p_partkey") % 5 == 0, F.lit(8)).otherwise(F.lag(width, 1, 8).over(w))
+    layers = parts.select(F.col("p_brand").alias("model"), F.row_number().over(w).alias("i"), width.cast("long").alias("out"), into.cast("long").alias("into"))
     name = lambda end: F.concat(F.lit("fc"), F.lpad(F.col("i").cast("string"), 6, "0"), F.lit(end))
     tensors = layers.select("model", F.explode(F.array(F.struct(name(".weight").alias("name"), F.array("out", "into").alias("shape")), F.struct(name(".bias").alias("name"), F.array("out").alias("shape")))).alias("t")).select("model", "t.*")
-    return topology.permutation_groups(tensors)
+    return topology.permutation_groups(tensors).withColumn("vectors", F.array_join("vectors", ","))

@@ -1,8 +1,9 @@
 """A repository of model versions: commits, branches, checkout, merge, verification and exchange.
 
-Payload (tensor bytes, deltas, permutations, manifests, commits) lives in the object store; ``commits`` and
-``entries`` are tables derived from it for the graph queries; refs are an append-only table whose latest row per
-name counts, so a crash between two writes never leaves a half-written pointer.
+Payload (tensor bytes, deltas, permutations, file headers, manifests, commits) lives in the object store; ``commits``
+and ``entries`` are tables derived from it for the graph queries; refs are an append-only table whose latest row per
+name counts, so a crash between two writes never leaves a half-written pointer. Objects are written first, then
+entries, then the commit's row: a commit that has a row here has all that it needs here.
 """
 
 from __future__ import annotations
@@ -17,14 +18,22 @@ from pyspark.sql import functions as F
 from ..functions import canonical as C
 from ..operators import alignment as A
 from ..operators import graph, integrity, merge, transfer
-from ..operators.intervals import VirtualFile, file_size, read_ranges
+from ..operators.cache import RecentBytes
+from ..operators.intervals import VirtualFile, ranged
 from ..operators.journal import Journal
+from ..sources import files
 from ..sources.objects import ObjectStore
-from ..sources.tensorfile import METADATA, header_bytes, read_header, read_tensors
+from ..sources.tensorfile import METADATA, header_bytes, header_of, parse_header, read_tensors, write_tensors
 
-COMMITS = "commit_id string, manifest_hash string, parent_ids array<string>, message string, author string, ts double"
+COMMITS = "commit_id string, manifest_hash string, header_hash string, parent_ids array<string>, message string, author string, ts double"
 ENTRIES = "manifest_hash string, name string, dtype string, shape array<bigint>, start bigint, end bigint, is_delta boolean, blob_hash string, residual_hash string, perm_hash string, base_commit_id string, raw_bytes bigint, stored_bytes bigint, content_hash string"
 REFS = "name string, target string, seq bigint"
+#: Deltas of a chain that are undone in one plan; then the tensors are checkpointed.
+CHAIN = 4
+#: Unsound objects that a report names.
+LISTED = 1000
+#: Bytes of tensors that an open file keeps.
+CACHED_BYTES = 512 << 20
 
 
 @dataclass
@@ -41,10 +50,8 @@ class Repository:
     # tables
 
     def _table(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
+        path = f"{self.root}/{name}"
+        return self.spark.read.schema(schema).parquet(path) if files.exists(self.spark, path) else self.spark.createDataFrame([], schema)
 
     def _append(self, name: str, schema: str, rows: list[tuple]) -> None:
         self.spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{self.root}/{name}")
@@ -114,56 +121,73 @@ class Repository:
 
     # commits
 
-    def create_commit(self, manifest_hash: str, message: str, parents: list[str] | None = None, author: str = "") -> str:
+    def create_commit(self, manifest_hash: str, message: str, parents: list[str] | None = None, author: str = "", header_hash: str | None = None) -> str:
         branch, current = self.head()
         parents = ([current] if current else []) if parents is None else parents
         at = time.time()
         commit_id = self.objects.put_bytes(C.commit_bytes(manifest_hash, parents, message, author, at))[0]
-        self._append("commits", COMMITS, [(commit_id, manifest_hash, parents, message, author, at)])
+        self._append("commits", COMMITS, [(commit_id, manifest_hash, header_hash, parents, message, author, at)])
         self._point(f"heads/{branch}" if branch else "HEAD", commit_id)
         return commit_id
 
-    def _store_manifest(self, rows: list[tuple], metadata: dict, header: bytes | None = None) -> str:
-        """``rows``: entries without the manifest's hash."""
+    def _store_manifest(self, rows: list[tuple], metadata: dict, header_hash: str | None = None) -> str:
+        """``rows``: entries without the manifest's hash. The header is the file's own, so that checkout gives its very bytes."""
         names = [f.split()[0] for f in ENTRIES.split(", ")][1:]
         tensors = {r[0]: {k: v for k, v in zip(names[1:], r[1:], strict=True) if v is not None} for r in rows}
-        if header is not None:  # the file's own header, so that checkout gives the file's very bytes
-            metadata = metadata | {"__header__": self.objects.put_bytes(header)[0]}
-        manifest_hash = self.objects.put_bytes(C.manifest_bytes(tensors, metadata))[0]
-        self._append("entries", ENTRIES, [(manifest_hash, *r) for r in rows] or [])
+        manifest_hash = self.objects.put_bytes(C.manifest_bytes(tensors, metadata, header_hash))[0]
+        if rows:
+            self._append("entries", ENTRIES, [(manifest_hash, *r) for r in rows])
         return manifest_hash
 
     def commit(self, path: str, message: str = "", base: str | None = None, author: str = "", config: dict | None = None) -> Committed:
-        """Commit a checkpoint file: as deltas to the base (by default the current commit), or raw if there is none."""
+        """Commit a checkpoint file, at any path that Spark reaches: as deltas to the base (by default the current
+        commit), or raw if there is none. A transaction that fails is closed; what it has stored stays as orphans."""
         base_id = self._resolve(base) if base else self.head()[1]
         tx = self.journal.begin("commit", {"path": path, "base": base_id})
-        at, header = read_header(path)
-        with open(path, "rb") as file:
-            head = file.read(at)
+        held: list[DataFrame] = []
+        try:
+            done = self._commit(path, message, base_id, author, config, tx, held)
+        except BaseException:
+            self.journal.close(tx)
+            raise
+        finally:
+            for df in held:
+                df.unpersist()
+        self.journal.close(tx)
+        return done
+
+    def _commit(self, path: str, message: str, base_id: str | None, author: str, config: dict | None, tx: str, held: list[DataFrame]) -> Committed:
+        head = header_of(self.spark, path)
+        _, header = parse_header(head)
         target = read_tensors(self.spark, path).select("name", "dtype", "shape", "data").persist()
+        held.append(target)
         if base_id:
-            entries, perms, facts = A.align_and_diff(self.tensors(base_id).persist(), target, config)
+            base = self.tensors(base_id).persist()
+            held.append(base)
+            entries, perms, facts = A.align_and_diff(base, target, config)
         else:
-            entries = target.select("name", "dtype", "shape", F.lit(False).alias("is_delta"), F.col("data").alias("blob"), F.lit(None).cast("double").alias("energy"), F.octet_length("data").cast("long").alias("raw_bytes"))
-            perms, facts = {}, []
-        contents = {r[0]: r[1] for r in target.select("name", F.sha2("data", 256)).collect()}  # no payload
+            entries, perms, facts = A.raw_entries(target), {}, []
         entries = entries.persist()
+        held.append(entries)
+        contents = target.select("name", F.sha2("data", 256).alias("content"))
+        # facts of each tensor, no payload
+        listed = entries.select("name", "dtype", "shape", "is_delta", F.sha2("blob", 256).alias("hash"), "raw_bytes", F.octet_length("blob").cast("long").alias("stored")).join(contents, "name").collect()
+        perm_blobs = {n: A.perm_json(p) for n, p in perms.items()}
+        small = dict.fromkeys([head, *perm_blobs.values()])
+        named = self.spark.createDataFrame([(h,) for h in {r["hash"] for r in listed} | {C.digest(b) for b in small}], "hash string")
+        self.journal.record_blobs(tx, named)
         self.objects.put(entries.select(F.col("blob").alias("data")))
-        names = sorted(perms)
-        perm_hashes = dict(zip(names, self.objects.put_bytes(*(A.perm_json(perms[n]) for n in names)), strict=True)) if names else {}
+        self.objects.put_bytes(*small)
         rows = []
-        for r in entries.select("name", "dtype", "shape", "is_delta", F.sha2("blob", 256).alias("hash"), "raw_bytes", F.octet_length("blob").cast("long").alias("stored")).collect():  # no payload
-            a, b = header[r["name"]]["data_offsets"]
-            delta = r["is_delta"]
-            rows.append((r["name"], r["dtype"], list(r["shape"]), a, b, delta, None if delta else r["hash"], r["hash"] if delta else None, perm_hashes.get(r["name"]) if delta else None, base_id if delta else None, r["raw_bytes"], r["stored"], contents[r["name"]]))
+        for r in listed:
+            (a, b), delta = header[r["name"]]["data_offsets"], r["is_delta"]
+            perm = C.digest(perm_blobs[r["name"]]) if delta and r["name"] in perm_blobs else None
+            rows.append((r["name"], r["dtype"], list(r["shape"]), a, b, delta, None if delta else r["hash"], r["hash"] if delta else None, perm, base_id if delta else None, r["raw_bytes"], r["stored"], r["content"]))
         stats = A.statistics(entries, facts)
-        manifest_hash = self._store_manifest(sorted(rows), header.get(METADATA) or {}, head)
-        self.journal.record_blob(tx, manifest_hash)
-        commit_id = self.create_commit(manifest_hash, message, [base_id] if base_id else None, author)
+        manifest_hash = self._store_manifest(sorted(rows), header.get(METADATA) or {}, C.digest(head))
+        self.journal.record_blobs(tx, self.spark.createDataFrame([(manifest_hash,)], "hash string"))
+        commit_id = self.create_commit(manifest_hash, message, [base_id] if base_id else None, author, C.digest(head))
         self.journal.mark_committed(tx, commit_id)
-        self.journal.close(tx)
-        entries.unpersist()
-        target.unpersist()
         return Committed(commit_id, stats)
 
     def manifest(self, commit_id: str) -> tuple[str, DataFrame]:
@@ -172,49 +196,53 @@ class Repository:
             raise KeyError(commit_id)
         return row["manifest_hash"], self.entries().where(F.col("manifest_hash") == row["manifest_hash"])
 
-    def tensors(self, commit_id: str) -> DataFrame:
-        """name, dtype, shape, data of a commit; deltas are undone from the raw end of their chains upwards."""
+    def tensors(self, commit_id: str, names: DataFrame | None = None, depth: int = 1) -> DataFrame:
+        """name, dtype, shape, data of a commit, or of some names of it; deltas are undone from the raw end of their
+        chains upwards. A missing or altered object raises an error."""
         _, own = self.manifest(commit_id)
-        by_base = {r[0] for r in own.where("is_delta").select("base_commit_id").distinct().collect()}
-        blobs = self.objects.table().select(F.col("hash").alias("h"), "data")
-        out = own.where("not is_delta").join(blobs, F.col("blob_hash") == F.col("h")).select("name", "dtype", "shape", "data")
-        for base_id in sorted(by_base):
-            part = own.where(F.col("is_delta") & (F.col("base_commit_id") == base_id)).join(blobs, F.col("residual_hash") == F.col("h"))
-            hashes = {r[0]: r[1] for r in part.where("perm_hash is not null").select("name", "perm_hash").collect()}
-            loaded = {h: A.perm_of_json(self.objects.get(h)) for h in set(hashes.values())}
-            entries = part.select("name", "dtype", "shape", F.lit(True).alias("is_delta"), F.col("data").alias("blob"))
-            out = out.unionAll(A.restored(entries, self.tensors(base_id), {n: loaded[h] for n, h in hashes.items()}))
-        return out
+        if names is not None:
+            own = own.join(names.select("name"), "name", "left_semi")
+        out = self.objects.joined(own.where("not is_delta"), "blob_hash", "data").select("name", "dtype", "shape", "data")
+        for base_id in sorted(r[0] for r in own.where("is_delta").select("base_commit_id").distinct().collect()):  # the bases of one model
+            part = own.where(F.col("is_delta") & (F.col("base_commit_id") == base_id))
+            part = self.objects.joined(self.objects.joined(part, "residual_hash", "blob"), "perm_hash", "perm")
+            base = self.tensors(base_id, part.select("name"), depth + 1)
+            out = out.unionAll(A.restored(part.select("name", "dtype", "shape", "is_delta", "blob", "perm"), base))
+        return graph.checkpointed(out) if depth % CHAIN == 0 else out
 
     def _header(self, commit_id: str) -> bytes:
         manifest_hash, own = self.manifest(commit_id)
-        metadata = C.read_manifest(self.objects.get(manifest_hash))["metadata"]
-        if "__header__" in metadata:
-            return self.objects.get(metadata["__header__"])
+        manifest = C.read_manifest(self.objects.get(manifest_hash))
+        if manifest["header"]:
+            return self.objects.get(manifest["header"])
         rows = own.select("name", "dtype", "shape", "raw_bytes").collect()
-        return header_bytes([tuple(r) for r in rows], metadata or None)[0]
+        return header_bytes([tuple(r) for r in rows], manifest["metadata"] or None)[0]
 
     def materialize(self, commit_id: str, path: str) -> None:
-        """Write a commit's file, byte for byte what was committed; a tensor at a time."""
+        """Write a commit's file, byte for byte what was committed, to any path that Spark reaches; a tensor at a time."""
         _, own = self.manifest(commit_id)
         ordered = self.tensors(commit_id).join(own.select("name", "start"), "name").orderBy("start").select("data")
-        with open(path, "wb") as file:
-            file.write(self._header(commit_id))
+
+        def pieces():
+            yield self._header(commit_id)
             for row in ordered.toLocalIterator():
-                file.write(row[0])
+                yield bytes(row[0])
+
+        files.write(self.spark, path, pieces())
 
     def open(self, commit_id: str) -> VirtualFile:
-        """A commit as a file that is read by ranges and never written."""
+        """A commit as a file that is read by ranges and never written. Places are looked up once; the tensors that a range
+        meets are fetched when they are first read, and the most recent ones stay."""
         head = self._header(commit_id)
         _, own = self.manifest(commit_id)
-        placed = self.tensors(commit_id).join(own.select("name", "start", "end"), "name").select((F.col("start") + len(head)).alias("start"), (F.col("end") + len(head)).alias("end"), "data").persist()
-        total = file_size(placed, len(head))
+        rows = own.select("name", "start", "end").collect()  # a row per tensor
+        fetched = self.tensors(commit_id)
+        places = [(0, len(head), None)] + sorted((r["start"] + len(head), r["end"] + len(head), r["name"]) for r in rows)
 
-        def read_at(offset: int, size: int) -> bytes:
-            asked = self.spark.createDataFrame([(0, offset, size)], "req_id long, offset long, size long")
-            return bytes(read_ranges(asked, placed, total, head).first()["data"])
+        def tensor(name: str) -> bytes:
+            return bytes(fetched.where(F.col("name") == name).select("data").first()[0])
 
-        return VirtualFile(read_at, total)
+        return VirtualFile(ranged(places, head, RecentBytes(CACHED_BYTES, tensor).get), max(end for _, end, _ in places))
 
     def listing(self, name: str | None = None) -> list[tuple[str, int]]:
         """The files that stand for a commit, and their sizes."""
@@ -226,11 +254,11 @@ class Repository:
     # history
 
     def log(self, start: str | None = None) -> DataFrame:
-        """commit_id, message, author, ts, at (UTC), depth, path in the order of a breadth-first walk."""
+        """commit_id, message, author, ts, at (UTC), depth in the order of a breadth-first walk."""
         first = self.spark.createDataFrame([(self._resolve(start),)], "node string")
         walked = graph.history(first, graph.parent_edges(self.commits()))
         rows = walked.join(self.commits(), F.col("node") == F.col("commit_id"))
-        return rows.select("commit_id", "message", "author", "ts", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm:ss").alias("at"), "depth", "path").orderBy("depth", "path")
+        return rows.select("commit_id", "message", "author", "ts", F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd HH:mm:ss").alias("at"), "depth").orderBy("depth", "rank")
 
     def common_ancestor(self, a: str, b: str) -> str | None:
         pair = self.spark.createDataFrame([(0, a, b)], "pair int, a string, b string")
@@ -255,10 +283,10 @@ class Repository:
         side = lambda c: self.manifest(c)[1].select("name", F.struct(*fields).alias("entry"))
         base = side(ancestor) if ancestor else side(head).limit(0)
         kept = merge.three_way(side(head), side(other), base, by=["dtype", "shape", "content_hash"]).select("name", "entry.*").orderBy("name").collect()  # no payload
-        rows, at = [], 0
+        rows = []
+        _, ranges = header_bytes((r["name"], r["dtype"], r["shape"], r["raw_bytes"]) for r in kept)
         for r in kept:
-            place = {"start": at, "end": at + r["raw_bytes"]}
-            at += r["raw_bytes"]
+            place = dict(zip(("start", "end"), ranges[r["name"]], strict=True))
             rows.append(tuple(place.get(n, list(r[n]) if n == "shape" else r[n] if n not in place else None) for n in names))
         manifest_hash = self._store_manifest(rows, {})
         return "Merged", self.create_commit(manifest_hash, message or f"Merge {source}", [head, other], author)
@@ -267,54 +295,96 @@ class Repository:
 
     def references(self, heads: list[str], bases: bool = False) -> DataFrame:
         """hash, type, ord of all that the commits reach. ``bases``: also through the commits that deltas are against."""
-        commits, entries = self.commits(), self.entries()
-        edges = graph.parent_edges(commits)
-        if bases:
-            by_base = commits.join(entries.where("is_delta"), "manifest_hash").select(F.col("commit_id").alias("child"), F.lit(999_999).alias("pos"), F.col("base_commit_id").alias("parent"))
-            edges = edges.unionByName(by_base.distinct())
         seeds = self.spark.createDataFrame([(0, h) for h in heads], "seed int, node string")
-        reached = graph.walk(seeds, edges).select("node").distinct()
-        own = reached.join(commits, F.col("node") == F.col("commit_id"))
-        listed = own.select("manifest_hash").join(entries, "manifest_hash")
-        kinds = [(reached.select(F.col("node").alias("hash")), "commit"), (own.select(F.col("manifest_hash").alias("hash")), "manifest")]
-        kinds += [(listed.select(F.col(c).alias("hash")), k) for c, k in (("blob_hash", "blob"), ("perm_hash", "permutation"), ("residual_hash", "residual"))]
+        reached = graph.walk(seeds, self._edges(bases)).select(F.col("node").alias("commit_id")).distinct()
+        return self.needed(reached)
+
+    def _edges(self, bases: bool) -> DataFrame:
+        edges = graph.parent_edges(self.commits())
+        if not bases:
+            return edges
+        by_base = self.commits().join(self.entries().where("is_delta"), "manifest_hash").select(F.col("commit_id").alias("child"), F.col("base_commit_id").alias("parent")).distinct()
+        return edges.unionByName(by_base.withColumn("pos", F.lit(999_999)))
+
+    def needed(self, commits: DataFrame) -> DataFrame:
+        """hash, type, ord of the objects of some commits (commit_id), their own included."""
+        own = commits.join(self.commits(), "commit_id", "left")
+        listed = own.select("manifest_hash").join(self.entries(), "manifest_hash")
+        kinds = [(own, "commit_id", "commit"), (own, "manifest_hash", "manifest"), (listed, "blob_hash", "blob"), (listed, "perm_hash", "permutation"), (listed, "residual_hash", "residual"), (own, "header_hash", "header")]
         out = None
-        for order, (rows, kind) in enumerate(kinds):
-            rows = rows.where("hash is not null").distinct().withColumns({"type": F.lit(kind), "ord": F.lit(order)})
+        for order, (rows, column, kind) in enumerate(kinds):
+            rows = rows.select(F.col(column).alias("hash")).where("hash is not null").distinct().withColumns({"type": F.lit(kind), "ord": F.lit(order)})
             out = rows if out is None else out.unionAll(rows)
         return out
 
     def verify(self, start: str | None = None) -> dict:
-        """Counts by state, and the missing and altered hashes."""
+        """Counts by state, and up to ``LISTED`` of the missing and altered hashes; ``classified`` has them all."""
         if start is None and self.head()[1] is None:
             return {"is_valid": True, "errors": ["the repository has no commits"]}
-        found = integrity.classify(self.references([self._resolve(start)]), self.objects.table()).persist()
+        found = self.classified(start).persist()
         out = integrity.report(found).first().asDict()
-        bad = found.where("state <> 'ok'").select("hash", "state").collect()  # what is wrong, not what there is
+        bad = found.where("state <> 'ok'").select("hash", "state").orderBy("hash").limit(LISTED).collect()
         found.unpersist()
-        return out | {"missing": sorted(h for h, s in bad if s == "missing"), "tampered": sorted(h for h, s in bad if s == "tampered")}
+        return out | {"missing": [h for h, s in bad if s == "missing"], "tampered": [h for h, s in bad if s == "tampered"]}
+
+    def classified(self, start: str | None = None) -> DataFrame:
+        """hash, type, state, size of all that a commit reaches."""
+        return integrity.classify(self.references([self._resolve(start)]), self.objects.table())
 
     def pull(self, remote: Repository, branch: str = "main") -> int:
-        """Fetch what a remote branch needs and is missing here, each object checked, and move the branch; objects moved."""
+        """Fetch what a remote branch needs and is missing here, each object checked, and move the branch; objects moved.
+
+        The walk over the remote's history stops at commits that have a row here: they have all that they need.
+        Objects come first, then entries, then the commits' rows, and each step adds only what is missing,
+        so a pull that stopped anywhere is finished by the next one.
+        """
         target = remote.branch_commit(branch)
         if target is None:
             raise ValueError(f"the remote has no branch {branch}")
-        if target == self.head()[1]:
+        if target == self.head()[1] and target == self.branch_commit(branch):
             return 0
-        wanted = transfer.missing(remote.references([target], bases=True), self.objects.hashes()).persist()
+        tx = self.journal.begin("pull", {"remote": remote.root, "branch": branch, "target": target})
+        known = self.commits().select("commit_id")
+        edges = remote._edges(bases=True).join(known.withColumnRenamed("commit_id", "parent"), "parent", "left_anti").select("child", "parent", "pos")
+        seeds = self.spark.createDataFrame([(0, target)], "seed int, node string")
+        ahead = graph.walk(seeds, edges).select(F.col("node").alias("commit_id")).join(known, "commit_id", "left_anti")
+        commits = remote.commits().join(ahead, "commit_id", "left_semi").persist()
+        wanted = transfer.missing(remote.needed(commits.select("commit_id")), self.objects.hashes()).persist()
+        self.journal.record_blobs(tx, wanted)
         moved = self.objects.put(transfer.transfer(wanted, remote.objects.table()))
-        for name, schema, key in (("commits", COMMITS, "commit_id"), ("entries", ENTRIES, "manifest_hash")):
-            rows = remote._table(name, schema).join(wanted.select(F.col("hash").alias(key)), key, "left_semi").select(*(f.split()[0] for f in schema.split(", ")))
-            rows.write.mode("append").parquet(f"{self.root}/{name}")
+        lacking = transfer.missing(wanted, self.objects.hashes()).first()
+        if lacking is not None:
+            self.journal.close(tx)
+            raise ValueError(f"the remote lacks the object {lacking[0]}")
+        columns = lambda schema: [f.split()[0] for f in schema.split(", ")]
+        entries = remote.entries().join(commits.select("manifest_hash"), "manifest_hash", "left_semi")
+        entries = entries.join(self.entries().select("manifest_hash", "name"), ["manifest_hash", "name"], "left_anti")
+        entries.select(*columns(ENTRIES)).write.mode("append").parquet(f"{self.root}/entries")
+        commits.select(*columns(COMMITS)).write.mode("append").parquet(f"{self.root}/commits")
         wanted.unpersist()
+        commits.unpersist()
         self._point(f"heads/{branch}", target)
+        self.journal.mark_committed(tx, target)
+        self.journal.close(tx)
         return moved
 
     def push(self, remote: Repository, branch: str = "main") -> int:
         return remote.pull(self, branch)
 
-    def recover(self) -> dict[str, int]:
-        return self.journal.recover()
+    def recover(self, older_than: float = 0.0) -> dict[str, int]:
+        """Close transactions and delete half-written files that are at least ``older_than`` seconds old, so that
+        live writers may be spared; counts of both."""
+        found = self.journal.recover(older_than)
+        return found | {"n_temporary": self._clean(time.time() - older_than)}
+
+    def _clean(self, before: float) -> int:
+        """Delete what writers that stopped left behind: uncommitted output of jobs and parts of files."""
+        stale = []
+        for folder in [self.root, *(f"{self.root}/{name}" for name in ("objects", "commits", "entries", "refs", "journal"))]:
+            stale += [path for path, name, at in files.children(self.spark, folder) if at <= before and (name.startswith(("_temporary", ".spark-staging")) or name.endswith(".part"))]
+        for path in stale:
+            files.delete(self.spark, path)
+        return len(stale)
 
     def orphans(self) -> DataFrame:
         from ..operators.journal import orphans
@@ -324,10 +394,24 @@ class Repository:
 
     def rebasin(self, a_path: str, b_path: str, out_path: str, alpha: float = 0.5, config: dict | None = None) -> dict[str, list[int]]:
         """Bring model B into A's order, mix the two and write the result; the permutations."""
-        from ..sources.tensorfile import write_tensors
-
         a, b = (read_tensors(self.spark, p).persist() for p in (a_path, b_path))
-        moved, perms = A.rebasin(a, b, config)
-        metadata = (read_header(a_path)[1].get(METADATA) or {}) | {"rebasin": "true", "alpha": json.dumps(alpha)}
-        write_tensors(A.interpolate(a, moved, alpha), out_path, metadata)
+        try:
+            moved, perms = A.rebasin(a, b, config)
+            metadata = (parse_header(header_of(self.spark, a_path))[1].get(METADATA) or {}) | {"rebasin": "true", "alpha": json.dumps(alpha)}
+            write_tensors(A.interpolate(a, moved, alpha), out_path, metadata)
+        finally:
+            a.unpersist()
+            b.unpersist()
         return perms
+
+
+def find_root(spark: SparkSession, start: str) -> str | None:
+    """The folder at ``start`` or above it that holds a repository."""
+    at = start.rstrip("/")
+    while True:
+        if files.exists(spark, f"{at}/refs"):
+            return at
+        above = at.rpartition("/")[0]
+        if not above or above.endswith(("/", ":")) or above == at:
+            return None
+        at = above

@@ -1,14 +1,15 @@
 """Checkpoint files: 8 bytes of header length, a JSON header, tensor bytes.
 
-``read_tensors`` reads through Spark's own file access, so any store that Spark reaches will do. ``TensorFileSource``
-is a data source for mounted paths: a partition per tensor, read by its byte range alone, with filters on ``name``
-pushed down. Both give a row per tensor.
+``read_tensors`` gives a row per tensor of files at any path that Spark reaches. Where tasks can open the files
+themselves, headers are read first and each tensor by its byte range alone, so a file may have any size; of other stores
+whole files pass through Spark's binary reader, which takes up to 2 GB. One tensor is one cell, of up to 2 GB.
+``TensorFileSource`` is a data source for mounted paths: a partition per tensor, with filters on ``name``
+pushed down.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from . import files
+
 SCHEMA = "model string, name string, dtype string, shape array<bigint>, start bigint, end bigint, data binary"
 METADATA = "__metadata__"
 
@@ -33,13 +36,25 @@ def parse_header(raw: bytes) -> tuple[int, dict]:
     return 8 + size, json.loads(bytes(raw[8 : 8 + size]))
 
 
+def _header_from(read) -> bytes:
+    """A file's first bytes up to its tensors, by ``read`` (offset, size)."""
+    first = read(0, 8)
+    if len(first) < 8:
+        raise ValueError("a file of less than 8 bytes has no header")
+    return first + read(8, struct.unpack("<Q", first)[0])
+
+
 def read_header(path: str) -> tuple[int, dict]:
-    """Reads the header alone."""
+    """Reads the header alone, of a file at a mounted path."""
     with open(path, "rb") as file:
-        first = file.read(8)
-        if len(first) < 8:
-            raise ValueError("a file of less than 8 bytes has no header")
-        return parse_header(first + file.read(struct.unpack("<Q", first)[0]))
+        return parse_header(_header_from(lambda offset, size: file.read(size)))
+
+
+def header_of(spark: SparkSession, path: str) -> bytes:
+    """The bytes before the tensors of a file at any path that Spark reaches."""
+    raw = _header_from(lambda offset, size: files.read(spark, path, offset, size))
+    parse_header(raw)
+    return raw
 
 
 def tensor_entries(header: dict) -> dict[str, dict]:
@@ -71,39 +86,79 @@ def load_tensor(path: str, name: str) -> tuple[str, list[int], bytes]:
         return entry["dtype"], entry["shape"], file.read(b - a)
 
 
-def read_tensors(spark: SparkSession, path: str) -> DataFrame:
-    """All tensors of the files at ``path``; the model is the file's path."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+_KINDS = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
+_NAMES = [f.split()[0] for f in SCHEMA.split(", ")]
+MOST_BYTES = (1 << 31) - 1
+
+
+def _row(row: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS, strict=True)], names=_NAMES)
 
-    def run(batches):
-        kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
-        names = ["model", "name", "dtype", "shape", "start", "end", "data"]
-        for batch in batches:
-            for model, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held = memoryview(raw.as_buffer())
-                at, header = parse_header(held)
-                for name, e in tensor_entries(header).items():
-                    a, b = e["data_offsets"]
-                    row = (model, name, e["dtype"], e["shape"], a, b, bytes(held[at + a : at + b]))
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
-    return files.mapInArrow(run, SCHEMA)
+def _whole(batches):
+    """Tensors of files that came whole (path, content)."""
+    for batch in batches:
+        for model, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held = memoryview(raw.as_buffer())
+            at, header = parse_header(held)
+            for name, e in tensor_entries(header).items():
+                a, b = e["data_offsets"]
+                yield _row((model, name, e["dtype"], e["shape"], a, b, bytes(held[at + a : at + b])))
+
+
+def _headers(batches):
+    """(model, at, name, dtype, shape, start, end) of the tensors of files (path)."""
+    for batch in batches:
+        rows = []
+        for path in batch.column(0).to_pylist():
+            with files.opened(path) as file:
+                at, header = parse_header(_header_from(lambda offset, size: file.read(size)))  # noqa: B023
+            for name, e in tensor_entries(header).items():
+                a, b = e["data_offsets"]
+                if b - a > MOST_BYTES:
+                    raise ValueError(f"tensor {name} of {path} has over 2 GB")
+                rows.append((path, at, name, e["dtype"], e["shape"], a, b))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["model", "at", "name", "dtype", "shape", "start", "end"])
+
+
+def _ranged(batches):
+    """Tensors by their byte ranges."""
+    for batch in batches:
+        for model, at, name, dtype, shape, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            with files.opened(model) as file:
+                file.seek(at + a)
+                data = file.read(b - a)
+            if len(data) != b - a:
+                raise ValueError(f"tensor {name} of {model} is cut off")
+            yield _row((model, name, dtype, shape, a, b, data))
+
+
+def read_tensors(spark: SparkSession, path: str) -> DataFrame:
+    """All tensors of the files at ``path``; the model is the file's path."""
+    found = spark.read.format("binaryFile").load(path)
+    one = found.select("path").first()
+    if one is not None and not files.by_ranges(one[0]):
+        return found.select("path", "content").mapInArrow(_whole, SCHEMA)
+    placed = found.select("path").mapInArrow(_headers, "model string, at long, name string, dtype string, shape array<bigint>, start long, end long")
+    # tensors of one file are read by many tasks
+    return placed.repartition("model", "name").mapInArrow(_ranged, SCHEMA)
 
 
 def write_tensors(tensors: DataFrame, path: str, metadata: dict | None = None) -> None:
-    """One model's tensors to a file at a mounted path: the header from their sizes, then a tensor at a time."""
+    """One model's tensors to a file at any path that Spark reaches: the header from their sizes, then a tensor at a
+    time, in order of name, through the driver."""
     sizes = [tuple(r) for r in tensors.select("name", "dtype", "shape", F.octet_length("data")).collect()]  # no data
     if len({s[0] for s in sizes}) != len(sizes):
         raise ValueError("tensor names repeat")
     head, _ = header_bytes(sizes, metadata)
-    temporary = f"{path}.part"
-    with open(temporary, "wb") as file:
-        file.write(head)
+
+    def pieces():
+        yield head
         for row in tensors.orderBy("name").select("data").toLocalIterator():
-            file.write(row[0])
-        file.flush()
-        os.fsync(file.fileno())
-    os.replace(temporary, path)
+            yield bytes(row[0])
+
+    files.write(tensors.sparkSession, path, pieces())
 
 
 class _Part(InputPartition):

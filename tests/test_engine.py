@@ -44,7 +44,9 @@ def test_binary():
         assert binary.decompress(binary.compress(data)) == data
     import zlib
 
-    assert binary.decompress(b"ZLIB" + zlib.compress(a)) == a and binary.decompress(b"untagged") == b"untagged"
+    assert binary.decompress(bytes([binary.DEFLATE]) + zlib.compress(a)) == a and binary.compress(a) == bytes([binary.STORED]) + a
+    with pytest.raises(ValueError):
+        binary.decompress(b"\x09abc")
     assert binary.unpack_u64(binary.pack_u64(1 << 40)) == 1 << 40
     for dtype, (width, _) in binary.DTYPES.items():
         raw = bytes(width * 6) if dtype == "BOOL" else rng.randbytes(width * 6)
@@ -60,10 +62,11 @@ def test_binary():
 def test_canonical():
     assert canonical.canonical({"b": None, "a": [1, "é"]}) == b'{"a":[1,"\\u00e9"],"b":null}'
     commit = canonical.commit_bytes("m", ["p"], "msg", "me", 1.5)
-    assert canonical.read_commit(commit)["parent_ids"] == ["p"]
+    assert canonical.read_commit(commit) == {"manifest": "m", "parents": ["p"], "message": "msg", "author": "me", "at": 1.5}
     with pytest.raises(ValueError):
-        canonical.read_commit(b'{"type":"commit"}')
-    assert canonical.read_manifest(b"{}")["tensors"] == {}
+        canonical.read_commit(b'{"parents":[]}')
+    assert canonical.read_manifest(b"{}") == {"tensors": {}, "metadata": {}, "header": None}
+    assert canonical.read_manifest(canonical.manifest_bytes({"a": {}}, {"k": "v"}, "h")) == {"tensors": {"a": {}}, "metadata": {"k": "v"}, "header": "h"}
 
 
 def test_running_sums(spark):
@@ -133,18 +136,41 @@ def by_hand(start, edges):
     return found
 
 
-def test_history_and_ancestors(spark):
+@pytest.mark.parametrize("held_edges", [graph.HELD_EDGES, 0])
+def test_history_and_ancestors(spark, monkeypatch, held_edges):
+    """On a broadcast graph and level by level."""
+    monkeypatch.setattr(graph, "HELD_EDGES", held_edges)
     rng = random.Random(5)
     edges = EDGES + [(f"n{i}", k, f"n{j}") for i in range(1, 40) for k, j in enumerate(rng.sample(range(i), min(i, rng.choice([1, 1, 2, 3]))))]
     df = spark.createDataFrame(edges, "child string, pos int, parent string")
     for start in ("m", "n39", "root"):
-        rows = graph.history(spark.createDataFrame([(start,)], "node string"), df).orderBy("depth", "path").collect()
+        rows = graph.history(spark.createDataFrame([(start,)], "node string"), df).orderBy("depth", "rank").collect()
         assert [r["node"] for r in rows] == by_hand(start, edges)
     pairs = [("m", "r"), ("l", "r"), ("r", "l"), ("m", "other"), ("n39", "n38"), ("n30", "n39"), ("root", "root")]
     out = graph.common_ancestors(spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string"), df).collect()
     for r in out:
         above = set(by_hand(r["a"], edges))
         assert r["ancestor"] == next((n for n in by_hand(r["b"], edges) if n in above), None)
+    seeds = [(0, "m"), (0, "l"), (0, "nowhere"), (1, "n5"), (1, "nowhere"), (2, None)]
+    walked = graph.walk(spark.createDataFrame(seeds, "seed int, node string").where("node is not null"), df)
+    assert {(r["seed"], r["node"]) for r in walked.where("depth = 0").collect()} == {s for s in seeds if s[1]}
+    assert {r["node"] for r in walked.where("seed = 0").collect()} == {*by_hand("m", edges), "nowhere"} and walked.groupBy("seed", "node").count().where("count > 1").isEmpty()
+    known = spark.createDataFrame([("l",), ("r",)], "node string")
+    assert {r["node"] for r in graph.walk(spark.createDataFrame([(0, "m")], "seed int, node string"), df, known).collect()} == {"m", "l", "r"}
+
+
+def test_long_history(spark):
+    """A line of 10,000 commits with a fork near each end."""
+    n = 10_000
+    edges = spark.range(1, n).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"), F.lit(0).alias("pos"))
+    edges = edges.unionAll(spark.createDataFrame([(n, 5, 0), (n + 1, n - 5, 0)], edges.schema))
+    last = graph.history(spark.createDataFrame([(n - 1,)], "node long"), edges)
+    assert last.agg(F.max("depth"), F.count("*")).first() == (n - 1, n)
+    pairs = spark.range(1, n).select(F.col("id").alias("pair"), F.col("id").alias("a"), (F.col("id") - 1).alias("b")).unionAll(spark.createDataFrame([(n, n, n - 1), (n + 1, n + 1, n - 1)], "pair long, a long, b long"))
+    out = graph.common_ancestors(pairs, edges)
+    assert out.where("pair < 10000 and ancestor <> b").isEmpty() and {r["pair"]: r["ancestor"] for r in out.where("pair >= 10000").collect()} == {n: 5, n + 1: n - 5}
+    with pytest.raises(ValueError, match="cycle"):
+        graph.common_ancestors(pairs, spark.createDataFrame([(1, 2, 0), (2, 1, 0)], "child long, parent long, pos int"))
 
 
 def test_merge_truth_table(spark):
@@ -178,10 +204,11 @@ def test_verification(spark):
 def test_journal(spark, tmp_path):
     log = journal.Journal(spark, f"file://{tmp_path}")
     first, second = log.begin("commit", {"x": 1}), log.begin("commit")
-    log.record_blob(first, "b1")
+    log.record_blobs(first, spark.createDataFrame([("b1",), ("b2",), (None,), ("b1",)], "hash string"))
     log.mark_committed(second, "c")
     open_ = {r["tx_id"]: r for r in journal.open_transactions(log.events()).collect()}
-    assert open_[first]["status"] == "PREPARING" and open_[first]["blobs"] == ["b1"] and open_[second]["status"] == "COMMITTED"
+    assert open_[first]["status"] == "PREPARING" and open_[first]["blobs"] == ["b1", "b2"] and open_[second]["status"] == "COMMITTED"
+    assert log.recover(older_than=600) == {"n_aborted": 0, "n_completed": 0, "n_unreadable": 0}
     assert log.recover() == {"n_aborted": 1, "n_completed": 1, "n_unreadable": 0}
     assert log.recover() == {"n_aborted": 0, "n_completed": 0, "n_unreadable": 0}
 
@@ -195,6 +222,42 @@ def test_cache(spark):
     assert cache.resident(items, 5, F.lit(0)).where("is_resident").count() == 1
 
 
+def test_recent_bytes():
+    made = []
+    held = cache.RecentBytes(10, lambda k: made.append(k) or k.encode() * 4)
+    assert [held.get(k) for k in "abab"] == [b"aaaa", b"bbbb"] * 2 and made == ["a", "b"]
+    held.get("c")  # the least recent one goes
+    held.get("b")
+    assert made == ["a", "b", "c"] and held.stats() == {"n_items": 2, "bytes": 8, "capacity": 10, "utilization_pct": 80.0}
+    assert held.get("dddd") == b"dddd" * 4 and held.stats()["n_items"] == 1
+    held.clear()
+    assert held.stats()["bytes"] == 0
+
+
+def test_binary_columns(spark):
+    rng = random.Random(9)
+    rows = [(i, bytearray(rng.randbytes(n)), bytearray(rng.randbytes(n))) for i, n in enumerate([0, 1, 9, 400] * 12)]
+    rows += [(50, None, bytearray(b"a")), (51, bytearray(b"a"), None)]
+    df = spark.createDataFrame(rows, "i int, a binary, b binary")
+    out = {r["i"]: r["d"] for r in df.select("i", binary.decompress_column(binary.compress_column(binary.xor_column("a", "b"))).alias("d")).collect()}
+    assert out == {i: None if a is None or b is None else binary.exclusive_or(bytes(a), bytes(b)) for i, a, b in rows}
+
+
+def test_cost_rows(spark):
+    import numpy as np
+
+    from palimpsest.operators import similarity
+
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=8 if i % 7 else 5) for i in range(600)} | {600: np.zeros(8)}
+    rows = [(i, v.tolist()) for i, v in vectors.items()] + [(601, None), (602, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    got = {(r["target"], r["base"]): r["cost"] for r in similarity.cost_rows(df.where("id % 2 = 0"), df, "id", "v").collect()}
+    want = {(t, b): 1 - x @ y / ((np.linalg.norm(x) + 1e-8) * (np.linalg.norm(y) + 1e-8)) for t, x in vectors.items() if t % 2 == 0 for b, y in vectors.items() if len(x) == len(y)}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    assert similarity.cost_rows(df.limit(0), df, "id", "v").count() == 0
+
+
 def test_topology(spark):
     shapes = {"conv1.weight": [32, 3, 3, 3], "bn1.weight": [32], "bn1.bias": [32], "bn1.running_mean": [32], "conv2.weight": [64, 32, 3, 3], "fc.weight": [10, 64], "fc.bias": [10], "extra10": [32]}
     tensors = spark.createDataFrame([("m", n, s) for n, s in shapes.items()], "model string, name string, shape array<bigint>")

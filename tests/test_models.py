@@ -159,7 +159,7 @@ def test_repository(spark, tmp_path):
     assert [r["message"] for r in repo.log().collect()] == ["second", "first"]
     report = repo.verify()
     assert report["is_valid"] and report["missing"] == [] and report["tampered"] == []
-    assert repo.recover() == {"n_aborted": 0, "n_completed": 0, "n_unreadable": 0}
+    assert repo.recover() == {"n_aborted": 0, "n_completed": 0, "n_unreadable": 0, "n_temporary": 0}
 
     remote = Repository(spark, f"file://{tmp_path}/other")
     remote.init()
