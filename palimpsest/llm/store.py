@@ -37,6 +37,8 @@ from .staging import Staging, bound_arrow_batches, shuffle_partitions, trimmed
 from .wordids import encode_texts, library_table, one_array, slices
 
 LEAST, MOST, WINDOW, CUT_BITS = 64, 4096, 16, 9
+#: Digests that a task remembers while it encodes, so that a chunk it has just met is not sent again.
+RECENT = 100_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -117,7 +119,7 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _encoder(vocabulary: str, end_id: int, width: str):
-    """Recipe rows of documents, and chunk rows: each chunk once a task."""
+    """Recipe rows of documents, and chunk rows: each chunk about once a task."""
 
     def encode(batches):
         table, written, step = library_table(vocabulary), set(), np.dtype(width).itemsize
@@ -130,6 +132,8 @@ def _encoder(vocabulary: str, end_id: int, width: str):
                     digests = [hashlib.blake2b(raw[4 * a : 4 * b], digest_size=16).digest() for a, b in zip(edges, edges[1:])]
                     for d, a, b in zip(digests, edges, edges[1:]):
                         if d not in written:
+                            if len(written) >= RECENT:
+                                written.clear()
                             written.add(d)
                             rows.append(("chunk", d, None, None, None, None, bytes(narrow[step * a : step * b])))
                     name = hashlib.blake2b(b"".join(digests), digest_size=16).digest()
@@ -140,14 +144,14 @@ def _encoder(vocabulary: str, end_id: int, width: str):
 
 
 def _once(batches):
-    """Drops the chunks that an earlier row of the task has; recipes stay."""
-    seen = set()
+    """Of rows in order of kind and key: drops the chunks that the row before has too; recipes stay."""
+    last = None
     for batch in batches:
         keep = []
         for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keep.append(kind == "recipe" or key not in seen)
+            keep.append(kind == "recipe" or key != last)
             if kind == "chunk":
-                seen.add(key)
+                last = key
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -168,14 +172,16 @@ def _numbered(batches):
 def write_store(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", wide: bool = False) -> None:
     """Encode documents and write the store to ``folder``. ``wide``: 4 bytes an id, for vocabularies over 65,536.
 
-    Texts stay where they are read. Chunks move once, by digest, to the task that writes them; only recipes, some
-    30 bytes a chunk, are put in order.
+    Texts stay where they are read. Chunks move once, by digest, to the task that writes them; recipes, some
+    30 bytes a chunk, go by digest and document, so copies of one text are dealt over all tasks, and are put in order.
     """
     spark = docs.sparkSession
     bound_arrow_batches(spark)
     staging = Staging(spark, "store")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    raw = chosen.mapInArrow(trimmed(_encoder(vocabulary, end_id, "<u4" if wide else "<u2")), RAW).repartition("key").mapInArrow(trimmed(_once), RAW)
+    encoded = chosen.mapInArrow(trimmed(_encoder(vocabulary, end_id, "<u4" if wide else "<u2")), RAW)
+    dealt = encoded.repartition(F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("key", "doc_id")))
+    raw = dealt.sortWithinPartitions("kind", "key").mapInArrow(trimmed(_once), RAW)
     raw.write.mode("overwrite").option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/objects")
     staging.release()
     order = [F.col("doc_id").asc_nulls_first(), F.col("key")]
