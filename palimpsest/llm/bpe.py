@@ -96,7 +96,7 @@ class RankedVocabulary(Vocabulary):
         self.marks = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")
 
     def pieces(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return listed([self.array.encode(self.lettered(p)) for p in fresh.to_pylist()])
+        return listed([self.array.encode(self.lettered(p)) for p in fresh.to_numpy(zero_copy_only=False)])
 
     def _plain_part(self, text: str) -> list[int]:
         normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text

@@ -42,7 +42,7 @@ from .words import Words, mixed, shingles
 PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
 #: Elements whose permutations are held at once.
-HELD = 200_000
+HELD = 50_000
 
 
 def super_min_hash(elements: np.ndarray, bounds: np.ndarray, places: int = PLACES) -> np.ndarray:
@@ -134,7 +134,7 @@ def signatures(docs: DataFrame, words_per_shingle: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts, keys = one_array(batch.column(1)), one_array(batch.column(0))
-            for lo, hi in slices(texts, 8 << 20):
+            for lo, hi in slices(texts):
                 elements, bounds = shingles(Words(texts.slice(lo, hi - lo), lower=True), words_per_shingle)
                 size = np.diff(bounds)
                 d0, d1 = (set_sums(mixed(elements ^ np.uint64(salt)), bounds) for salt in (0x510E527FADE682D1, 0x9B05688C2B3E6C1F))
@@ -154,7 +154,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words_per_shingle: int, percent:
     def run(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            for lo, hi in slices(one_array(batch.column(2)), 4 << 20):
+            for lo, hi in slices(one_array(batch.column(2))):
                 part = table.slice(lo, hi - lo)
                 # a pivot's text stands in many rows: its set is made once
                 pivots = one_array(part.column(1)).dictionary_encode()
@@ -194,7 +194,7 @@ def _blocks(words_per_shingle: int):
         held, size = [], 0
         for batch in batches:
             texts, out = one_array(batch.column(3)), []
-            for lo, hi in slices(texts, 8 << 20):
+            for lo, hi in slices(texts):
                 elements, bounds = shingles(Words(texts.slice(lo, hi - lo), lower=True), words_per_shingle)
                 keys = zip(*(batch.column(i).slice(lo, hi - lo).to_pylist() for i in range(3)), strict=True)
                 for (group, root, key), a, b in zip(keys, bounds[:-1], bounds[1:], strict=True):

@@ -81,7 +81,7 @@ class Staging:
             time.sleep(0.1)
 
 
-def bound_arrow_batches(spark: SparkSession, rows: int = 4096, size: str = "16m") -> None:
+def bound_arrow_batches(spark: SparkSession, rows: int = 2048, size: str = "4m") -> None:
     """Bound what one Arrow batch holds, by rows and by bytes, for this session's Python stages."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

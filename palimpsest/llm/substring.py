@@ -7,7 +7,8 @@ earlier (in a document of a smaller id, or earlier in the same one). Every word
    word on, so any window holds a whole block. The probes are the runs of that length at every word. A probe that
    meets an indexed block elsewhere is a hit. Probes travel as packed arrays: one row per slice of documents and
    bucket of hashes, sorted, 8 bytes an entry; a hash that a slice holds more than once is a hit there already
-   and travels once, so a passage that a third of all documents share is one entry a slice.
+   and travels once, so a passage that a third of all documents share is one entry a slice. A task takes its
+   buckets one after the other and holds one at a time.
 2. Extend. Hits are widened to all windows that hold them, and those are compared whole: by a 96-bit hash, each
    slice sends the earliest start of each window content, the rest being repeats already; the smallest start over
    all slices is the original. What the windows cover together are the maximal exact repeats.
@@ -22,8 +23,11 @@ from __future__ import annotations
 
 import hashlib
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +37,6 @@ from .wordids import one_array, slices
 from .words import Runs, Words
 
 LAST = np.iinfo(np.int64).max
-SLICE_BYTES = 8 << 20
 ROW = "slice long, bucket int, n int, a binary, b binary, c binary"
 _NAMES = ["slice", "bucket", "n", "a", "b", "c"]
 
@@ -85,7 +88,7 @@ def _probes(block: int, buckets: int):
         count = 0
         for batch in batches:
             ids, texts, marks = (one_array(batch.column(i)) for i in range(3))
-            for lo, hi in slices(texts, SLICE_BYTES):
+            for lo, hi in slices(texts):
                 words = Words(texts.slice(lo, hi - lo), lower=False)
                 number, count = _slice_number(count), count + 1
                 total = len(words.hashes)
@@ -120,44 +123,59 @@ def _probes(block: int, buckets: int):
     return run
 
 
-def _met(batches):
-    """Probes that meet an indexed block in another slice. Rows of buckets under 0 pass."""
-    held: dict[int, list] = {}
-    passed = []
-    for batch in batches:
-        for row in _columns(batch):
-            if row[1] < 0:
-                passed.append(row)
-            else:
-                held.setdefault(row[1], []).append(row)
-    if passed:
-        yield _batch(passed)
-    for rows in held.values():
-        rest = np.concatenate([_from_low_first(r[3], "<u4") for r in rows])
-        place = np.concatenate([_from_low_first(r[4], "<u4") for r in rows])
-        origin = np.repeat(np.arange(len(rows)), [r[2] for r in rows])
-        order = np.argsort(rest, kind="stable")
-        ranked = rest[order]
-        groups = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        size = np.diff(np.concatenate([groups, [len(ranked)]]))
-        indexed = np.logical_or.reduceat((place[order] >> np.uint32(31)).astype(bool), groups)
-        hit = np.repeat((size > 1) & indexed, size)
-        chosen = order[hit]
-        word = place[chosen] & np.uint32(0x7FFFFFFF)
-        chosen, word = chosen[word != 0x7FFFFFFF], word[word != 0x7FFFFFFF]
-        by = np.argsort(origin[chosen], kind="stable")
-        edges = np.searchsorted(origin[chosen][by], np.arange(len(rows) + 1))
-        out = [(r[0], -2, int(b - a), word[by[a:b]].astype("<u4").tobytes(), None, None) for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True) if b > a]
-        if out:
+def _by_bucket(solve: Callable[[list[tuple]], list[tuple]]):
+    """``solve`` on the rows of each bucket, which come in order of bucket. Rows of buckets under 0 pass."""
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            passing = pc.less(batch.column(1), 0)
+            if pc.any(passing).as_py():
+                yield batch.filter(passing)
+                batch = batch.filter(pc.invert(passing))
+            for row in _columns(batch):
+                if held and row[1] != held[0][1]:
+                    if out := solve(held):
+                        yield _batch(out)
+                    held = []
+                held.append(row)
+        if held and (out := solve(held)):
             yield _batch(out)
 
+    return run
+
+
+def _met(rows: list[tuple]) -> list[tuple]:
+    """Probes of one bucket that meet an indexed block in another slice."""
+    rest = np.concatenate([_from_low_first(r[3], "<u4") for r in rows])
+    place = np.concatenate([_from_low_first(r[4], "<u4") for r in rows])
+    origin = np.repeat(np.arange(len(rows)), [r[2] for r in rows])
+    order = np.argsort(rest, kind="stable")
+    ranked = rest[order]
+    groups = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+    size = np.diff(np.concatenate([groups, [len(ranked)]]))
+    indexed = np.logical_or.reduceat((place[order] >> np.uint32(31)).astype(bool), groups)
+    hit = np.repeat((size > 1) & indexed, size)
+    chosen = order[hit]
+    word = place[chosen] & np.uint32(0x7FFFFFFF)
+    chosen, word = chosen[word != 0x7FFFFFFF], word[word != 0x7FFFFFFF]
+    return _sent_back(rows, origin[chosen], word)
+
+
+def _sent_back(rows: list[tuple], origin: np.ndarray, word: np.ndarray) -> list[tuple]:
+    """Places of words as rows (bucket -2) of the slices that they stand in."""
+    by = np.argsort(origin, kind="stable")
+    edges = np.searchsorted(origin[by], np.arange(len(rows) + 1))
+    return [(r[0], -2, int(b - a), word[by[a:b]].astype("<u4").tobytes(), None, None) for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True) if b > a]
+
 
 PLACES = "doc_id long, mark long, places binary"
 
 
 def _by_document(batches):
     """Rows of whole slices, in order of slice: the places of each document that has some."""
-    number, held = None, []
+    number: int | None = None
+    held: list[tuple] = []
 
     def split(rows):
         found = [np.frombuffer(r[3], dtype="<u4") for r in rows if r[1] == -2]
@@ -198,7 +216,7 @@ def _windows(window: int, block: int, buckets: int):
         count = 0
         for batch in batches:
             ids, texts, marks, places = (one_array(batch.column(i)) for i in range(4))
-            for lo, hi in slices(texts, SLICE_BYTES):
+            for lo, hi in slices(texts):
                 words = Words(texts.slice(lo, hi - lo), lower=False)
                 number, count = _slice_number(count), count + 1
                 ids_here = ids.slice(lo, hi - lo).fill_null(LAST).to_numpy()
@@ -244,35 +262,20 @@ def _windows(window: int, block: int, buckets: int):
     return run
 
 
-def _later_copies(batches):
-    """Windows whose content starts earlier in another slice. Rows of buckets under 0 pass."""
-    held: dict[int, list] = {}
-    passed = []
-    for batch in batches:
-        for row in _columns(batch):
-            if row[1] < 0:
-                passed.append(row)
-            else:
-                held.setdefault(row[1], []).append(row)
-    if passed:
-        yield _batch(passed)
-    for rows in held.values():
-        hashes = np.concatenate([_from_low_first(r[3][: 8 * r[2]], "<u8") for r in rows])
-        check = np.concatenate([_from_low_first(r[3][8 * r[2] :], "<u4") for r in rows])
-        ids = np.concatenate([_from_low_first(r[4][: 8 * r[2]], "<i8") for r in rows])
-        within = np.concatenate([_from_low_first(r[4][8 * r[2] :], "<u4") for r in rows])
-        place = np.concatenate([_from_low_first(r[5], "<u4") for r in rows])
-        origin = np.repeat(np.arange(len(rows)), [r[2] for r in rows])
-        order = np.lexsort((within, ids, check, hashes))
-        new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (check[order][1:] != check[order][:-1])])
-        lead = np.flatnonzero(new)
-        head = np.repeat(order[lead], np.diff(np.concatenate([lead, [len(order)]])))
-        later = order[(ids[order] > ids[head]) | ((ids[order] == ids[head]) & (within[order] > within[head]))]
-        by = later[np.argsort(origin[later], kind="stable")]
-        edges = np.searchsorted(origin[by], np.arange(len(rows) + 1))
-        out = [(r[0], -2, int(b - a), place[by[a:b]].astype("<u4").tobytes(), None, None) for r, a, b in zip(rows, edges[:-1], edges[1:], strict=True) if b > a]
-        if out:
-            yield _batch(out)
+def _later_copies(rows: list[tuple]) -> list[tuple]:
+    """Windows of one bucket whose content starts earlier in another slice."""
+    hashes = np.concatenate([_from_low_first(r[3][: 8 * r[2]], "<u8") for r in rows])
+    check = np.concatenate([_from_low_first(r[3][8 * r[2] :], "<u4") for r in rows])
+    ids = np.concatenate([_from_low_first(r[4][: 8 * r[2]], "<i8") for r in rows])
+    within = np.concatenate([_from_low_first(r[4][8 * r[2] :], "<u4") for r in rows])
+    place = np.concatenate([_from_low_first(r[5], "<u4") for r in rows])
+    origin = np.repeat(np.arange(len(rows)), [r[2] for r in rows])
+    order = np.lexsort((within, ids, check, hashes))
+    new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (check[order][1:] != check[order][:-1])])
+    lead = np.flatnonzero(new)
+    head = np.repeat(order[lead], np.diff(np.concatenate([lead, [len(order)]])))
+    later = order[(ids[order] > ids[head]) | ((ids[order] == ids[head]) & (within[order] > within[head]))]
+    return _sent_back(rows, origin[later], place[later])
 
 
 def repeated_windows(docs: DataFrame, window: int, staging: Staging) -> DataFrame:
@@ -284,15 +287,18 @@ def repeated_windows(docs: DataFrame, window: int, staging: Staging) -> DataFram
     block = (window + 1) // 2  # any window of 2 * block - 1 words or more holds a whole block
     buckets = _buckets(spark)
 
+    tasks = shuffle_partitions(spark)
+
     def dealt(df: DataFrame) -> DataFrame:
-        # rows that only pass through are dealt by their slice
-        return df.repartition(F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket").cast("long")))
+        # buckets in turn, so that tasks have equally many; rows that only pass through by their slice
+        turn = F.when(F.col("bucket") < 0, F.xxhash64("slice")).otherwise(F.col("bucket").cast("long"))
+        return df.repartitionById(tasks, F.pmod(turn, F.lit(tasks)).cast("int")).sortWithinPartitions("bucket")
 
-    hits = staging.write(lambda: _per_document(dealt(docs.select("doc_id", "text", "mark").mapInArrow(trimmed(_probes(block, buckets)), ROW)).mapInArrow(trimmed(_met), ROW)), "hits", moved_much=True)
+    hits = staging.write(lambda: _per_document(dealt(docs.select("doc_id", "text", "mark").mapInArrow(trimmed(_probes(block, buckets)), ROW)).mapInArrow(trimmed(_by_bucket(_met)), ROW)), "hits", moved_much=True)
     hit_docs = docs.select("doc_id", "text", "mark").join(_united(hits).withColumnRenamed("doc_id", "d").withColumnRenamed("mark", "m"), (F.coalesce("doc_id", F.lit(int(LAST))) == F.col("d")) & (F.col("mark") == F.col("m")))
     # slices are numbered by task and order, so the order must be the same should a task run again
     ordered = hit_docs.sortWithinPartitions("d", "m")
-    found = staging.write(lambda: _per_document(dealt(ordered.select("doc_id", "text", "mark", "places").mapInArrow(trimmed(_windows(window, block, buckets)), ROW)).mapInArrow(trimmed(_later_copies), ROW)), "repeats", moved_much=True)
+    found = staging.write(lambda: _per_document(dealt(ordered.select("doc_id", "text", "mark", "places").mapInArrow(trimmed(_windows(window, block, buckets)), ROW)).mapInArrow(trimmed(_by_bucket(_later_copies)), ROW)), "repeats", moved_much=True)
     staging.drop("hits")
     return found
 

@@ -21,8 +21,10 @@ import pyarrow.compute as pc
 PLAIN = "^[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
 #: What stands alone or ends a run of letters in such a word, in lower case (fixed by the vocabulary's word rule).
 BREAKS = "([0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+)"
-#: Distinct words that a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Strings, and their bytes, that a worker remembers; beyond either it forgets those that it met only once.
+REMEMBERED, REMEMBERED_BYTES = 150_000, 8 << 20
+#: Bytes of text that are worked on at once, unless one text is longer.
+SLICE_BYTES = 2 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -37,54 +39,51 @@ def one_array(x: pa.Array | pa.ChunkedArray) -> pa.Array:
 
 
 class Table:
-    """The ids of all strings met so far, end to end, with the place of each string.
+    """The ids of strings met lately, end to end, with the place of each string.
 
-    ``encode`` maps an array of distinct new strings to (their ids end to end, the number of each one's ids).
+    ``encode`` maps an array of distinct new strings to (their ids end to end, the number of each one's ids). Common
+    strings stay; the many that stand only once don't fill a worker's memory.
     """
 
     def __init__(self, encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
-        self._reset()
+        self._keep(pa.array([], pa.string()), np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
 
-    def _reset(self) -> None:
-        self.known = pa.array([], pa.string())
-        self.flat = np.zeros(1024, dtype=np.uint32)
-        self.starts = np.zeros(1024, dtype=np.int64)
-        self.lengths = np.zeros(1024, dtype=np.int64)
-        self.filled = 0
+    def _keep(self, known: pa.Array, flat: np.ndarray, lengths: np.ndarray) -> None:
+        self.known, self.flat, self.lengths = known, flat, lengths
+        self.starts = np.cumsum(lengths) - lengths
+        self.met = np.zeros(len(known), dtype=bool)
 
-    @staticmethod
-    def _grown(a: np.ndarray, need: int) -> np.ndarray:
-        return a if need <= len(a) else np.concatenate([a, np.zeros(need + len(a) // 2 - len(a), dtype=a.dtype)])
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.met)
+        if 2 * len(kept) > REMEMBERED:
+            kept = kept[:0]
+        self._keep(self.known.take(pa.array(kept)), self._gathered(kept)[0], self.lengths[kept])
 
-    def number(self, distinct: pa.Array) -> np.ndarray:
-        """A number for each of some distinct strings; those not met before are encoded."""
-        if len(self.known) > REMEMBERED:
-            self._reset()
-        found = pc.index_in(distinct, value_set=self.known)
-        fresh = distinct.filter(found.is_null())
-        before, n = len(self.known), len(fresh)
-        out = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        if n:
-            ids, sizes = self.encode(fresh)
-            self.flat = self._grown(self.flat, self.filled + len(ids))
-            self.starts, self.lengths = self._grown(self.starts, before + n), self._grown(self.lengths, before + n)
-            self.flat[self.filled : self.filled + len(ids)] = ids
-            self.starts[before : before + n] = self.filled + np.cumsum(sizes) - sizes
-            self.lengths[before : before + n] = sizes
-            self.filled += len(ids)
-            self.known = pa.concat_arrays([self.known, fresh])
-            out[out < 0] = np.arange(before, before + n)
-        return out
-
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the numbered strings end to end, and where each string's ids start (one more at the end)."""
+    def _gathered(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.lengths[numbers]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         where = np.repeat(self.starts[numbers] - ends[:-1], sizes)
         where += np.arange(len(where))
         return self.flat[where], ends
 
+    def __call__(self, distinct: pa.Array, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at ``places`` of ``distinct`` end to end, and where each one's ids start (one more at
+        the end)."""
+        if len(self.known) > REMEMBERED or self.known.nbytes > REMEMBERED_BYTES:
+            self._forget()
+        found = pc.index_in(distinct, value_set=self.known)
+        fresh = distinct.filter(found.is_null())
+        number = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.met[number[number >= 0]] = True
+        if len(fresh):
+            ids, sizes = self.encode(fresh)
+            met = self.met
+            number[number < 0] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self._keep(pa.concat_arrays([self.known, fresh]), np.concatenate([self.flat, ids]), np.concatenate([self.lengths, sizes]))
+            self.met[: len(met)] = met
+        return self._gathered(number[places])
+
 
 def listed(ids: list) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
@@ -130,7 +129,7 @@ class Vocabulary:
 
     def pieces(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         model = self.tokenizer.model
-        return listed([[t.id for t in model.tokenize(self.lettered(p))] for p in fresh.to_pylist()])
+        return listed([[t.id for t in model.tokenize(self.lettered(p))] for p in fresh.to_numpy(zero_copy_only=False)])
 
     def whole(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
@@ -145,7 +144,7 @@ class Vocabulary:
             mask = plain.to_numpy(zero_copy_only=False)
             spaced = pc.replace_substring_regex(pc.utf8_lower(fresh.filter(plain)), BREAKS, " \\1 ")
             places, distinct, bounds = split_words(pc.utf8_trim(spaced, " "))
-            ids, ends = self.piece_table.gather(self.piece_table.number(distinct)[places])
+            ids, ends = self.piece_table(distinct, places)
             others, counts = listed([self.whole(w) for w in fresh.filter(pc.invert(plain)).to_pylist()])
         finally:
             if collecting:
@@ -159,7 +158,7 @@ class Vocabulary:
         return out, sizes
 
 
-def slices(texts: pa.Array, most: int = 8 << 20) -> Iterable[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterable[tuple[int, int]]:
     """Ranges of rows that hold at most ``most`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
@@ -175,7 +174,7 @@ def slices(texts: pa.Array, most: int = 8 << 20) -> Iterable[tuple[int, int]]:
 def encode_texts(texts: pa.Array, table: Table) -> tuple[np.ndarray, np.ndarray]:
     """All ids end to end, and the first id of each text (one more at the end)."""
     places, distinct, bounds = split_words(texts)
-    ids, ends = table.gather(table.number(distinct)[places])
+    ids, ends = table(distinct, places)
     return ids, ends[bounds]
 
 
