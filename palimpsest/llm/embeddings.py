@@ -12,6 +12,9 @@
    counted in its home. Products are in single precision, and those within 1e-4 of the threshold are taken again
    in double precision. A block product emits counts and a spanning forest, never its pairs.
 
+Vectors are scaled by a power of two to a largest component near 1, which changes no cosine, so squares of huge or tiny
+components neither overflow nor vanish.
+
 Defined results: null, empty and zero vectors, and those with null or non-finite components, link with nothing;
 vectors of different lengths link with nothing; a null id takes part in nothing and gets 0 links, a null
 component and kept; rows of one id each count as a vector of their own; other columns are left out and may have any
@@ -64,10 +67,15 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return np.frombuffer(raw, dtype="<f8").reshape(len(column), -1)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """A finite vector, not zero, times the power of two that brings its largest component to 0.5 to 1."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+
+
 def _packed(batches):
-    """(rep, dim, vec) with the vector as bytes."""
+    """(rep, dim, vec) with the scaled vector as bytes."""
     for batch in batches:
-        vectors = [np.asarray(v, dtype="<f8") for v in batch.column(1).to_pylist()]
+        vectors = [scaled(np.asarray(v, dtype="<f8")) for v in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in vectors], pa.int32()), pa.array([v.tobytes() for v in vectors], pa.binary()), batch.column(2)], names=["rep", "dim", "vec", "mult"])
 
 
