@@ -289,16 +289,27 @@ def media_of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """A row per packet: doc_id, track, timestamp, start, end, key."""
+    """A row per packet: doc_id, track, timestamp, start, end, key, error.
+
+    A file that can't be parsed has one row, with the reason in ``error`` and nothing else but its id; the others'
+    ``error`` is null. A null or empty file has no row.
+    """
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+    names = ["doc_id", "track", "timestamp", "start", "end", "key", "error"]
+
+    def rows_of(key, raw) -> list[tuple]:
+        try:
+            return [(key, *packet, None) for packet in parse(raw).packets] if raw else []
+        except (ValueError, LookupError, ArithmeticError, struct.error) as reason:
+            return [(key, None, None, None, None, None, f"{type(reason).__name__}: {reason}")]
 
     def run(batches):
         for batch in batches:
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packets = parse(raw).packets if raw else []
-                columns = [list(c) for c in zip(*packets)] or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(packets), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["doc_id", "track", "timestamp", "start", "end", "key"])
+                columns = [list(c) for c in zip(*rows_of(key, raw), strict=True)] or [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return media.select("doc_id", "media").mapInArrow(trimmed(run), "doc_id long, track int, timestamp long, start long, end long, key boolean")
+    return media.select("doc_id", "media").mapInArrow(trimmed(run), "doc_id long, track int, timestamp long, start long, end long, key boolean, error string")
 
 
 def features(payload: bytes, media: Media) -> str:
