@@ -91,6 +91,8 @@ class RankedVocabulary(Vocabulary):
         model = self.read(path)["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("ignore_merges"):
             raise ValueError("a BPE vocabulary without unknown token, prefix and byte fallback is needed")
+        if self.tokenizer.decoder is not None:
+            raise ValueError("decoding is by spaces between tokens, which holds for a file that names no decoder")
         self.array = RankArray(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.tokens = {i: s for s, i in model["vocab"].items()} | {i: s for s, i in self.special.items()}
         self.marks = re.compile("|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) or r"(?!)")

@@ -47,7 +47,8 @@ def local_forest(links: DataFrame) -> DataFrame:
 
 
 def connected_components(links: DataFrame, staging: Staging, name: str) -> DataFrame:
-    """(node, root) for every node of ``links`` (columns a, b; no nulls) but roots: the smallest node it reaches."""
+    """(node, root) for every node of ``links`` (columns a, b) but roots: the smallest node it reaches. A link with a null
+    end is none."""
     edges = staging.write(local_forest(links.select("a", "b").where("a <> b")).distinct(), f"{name}-0")
 
     def state(df: DataFrame):

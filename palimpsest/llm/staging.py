@@ -2,7 +2,8 @@
 
 A staged table lives in the folder that the session names in ``spark.checkpoint.dir``, which every
 executor and the driver share, so a lost executor costs a re-read and not a recomputation. Where the
-setting is absent (local tests) a temporary folder of this process stands in.
+setting is absent, a temporary folder of this process stands in if Spark runs in this process alone (local tests);
+on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import time
@@ -29,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", "")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="palimpsest-"))
         atexit.register(shutil.rmtree, _local[0], True)
@@ -82,7 +86,8 @@ class Staging:
 
 
 def bound_arrow_batches(spark: SparkSession, rows: int = 2048, size: str = "4m") -> None:
-    """Bound what one Arrow batch holds, by rows and by bytes, for this session's Python stages."""
+    """Bound what one Arrow batch holds, by rows and by bytes, for this session's Python stages. The settings stay, since
+    plans run after the call that makes them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
