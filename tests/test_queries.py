@@ -28,22 +28,31 @@ def test_query(spark, duck, name):
     assert sorted(map(repr, map(tuple, df.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
-def test_queries_without_sql(spark):
-    for name in set(QUERIES) - set(SQL):
-        assert QUERIES[name](spark, FOLDER).count() > 0
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_entry_without_the_folder(monkeypatch):
+def importing(monkeypatch, error):
     real = builtins.__import__
 
     def without(name, *args, **kwargs):
         if name == "corpus_pipeline" or name.startswith("palimpsest.llm"):
-            raise ImportError(name)
+            raise error(name)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", without)
+
+
+def test_entry_without_the_folder(monkeypatch):
+    importing(monkeypatch, lambda name: ModuleNotFoundError(name, name=name))
     assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL)
+
+
+def test_entry_with_a_broken_folder(monkeypatch):
+    importing(monkeypatch, lambda name: ModuleNotFoundError(name, name="numpy"))
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
