@@ -37,7 +37,9 @@ def read(spark: SparkSession, path: str, offset: int = 0, size: int | None = Non
     """``size`` bytes from ``offset`` on, or fewer where the file ends; all that follow without a size."""
     with _system(spark, path) as (system, place):
         there = system.getFileStatus(place).getLen() - offset
-        size = max(0, there if size is None else min(size, there))
+        size = there if size is None else min(size, there)
+        if size <= 0:
+            return b""
         stream = system.open(place)
         try:
             stream.seek(offset)

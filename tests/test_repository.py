@@ -10,7 +10,8 @@ from pyspark.sql.readwriter import DataFrameWriter
 from palimpsest.functions import canonical
 from palimpsest.functions.binary import encode
 from palimpsest.operators import journal
-from palimpsest.plans.repository import CHAIN, Repository, find_root
+from palimpsest.plans import repository as plans
+from palimpsest.plans.repository import Repository, find_root
 from palimpsest.sources import files, tensorfile
 from palimpsest.sources.objects import ObjectStore
 
@@ -94,20 +95,17 @@ def test_pull_that_stops_anywhere_is_finished_by_the_next(spark, tmp_path, monke
         return whole(self, *args, **kwargs)
 
     monkeypatch.setattr(DataFrameWriter, "parquet", counted)
-    for stop in range(1, 12):
+    for stop in (3, 4, 5, 6):  # before objects, entries, commits and the branch; two writes of the journal come first
         repo = repository(spark, tmp_path / f"repo{stop}")
         count[:] = [0, stop]
-        try:
+        with pytest.raises(OSError):
             repo.pull(remote)
-            break
-        except OSError:
-            count[1] = 0
-        assert repo.branch_commit("main") in (None, target)
+        count[1] = 0
+        assert repo.branch_commit("main") is None
         repo.pull(remote)
         assert repo.branch_commit("main") == target and repo.verify()["is_valid"]
         assert repo.commits().count() == 2 and repo.entries().count() == remote.entries().count()
-        assert bytes_of(repo, target, tmp_path / "out") == (tmp_path / "b").read_bytes()
-    assert stop > 6
+    assert bytes_of(repo, target, tmp_path / "out") == (tmp_path / "b").read_bytes()
 
 
 def test_failed_commits_are_closed(spark, tmp_path, monkeypatch):
@@ -138,15 +136,16 @@ def test_recovery_cleans_what_crashed_writers_left(spark, tmp_path):
     assert repo.verify()["is_valid"] and bytes_of(repo, commit, tmp_path / "out") == (tmp_path / "a").read_bytes()
 
 
-def test_long_chains_of_deltas(spark, tmp_path):
+def test_long_chains_of_deltas(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plans, "CHAIN", 2)
     repo = repository(spark, tmp_path / "repo")
-    for k in range(CHAIN + 2):
+    for k in range(4):
         last = repo.commit(put(tmp_path / f"m{k}", model(k, ["fc1.weight"]))).commit_id
     assert bytes_of(repo, last, tmp_path / "out") == (tmp_path / f"m{k}").read_bytes()
     file = repo.open(last)
     file.seek(8)
     assert file.read(40) == (tmp_path / f"m{k}").read_bytes()[8:48]
-    assert [r["depth"] for r in repo.log().collect()] == list(range(CHAIN + 2))
+    assert [r["depth"] for r in repo.log().collect()] == list(range(4))
 
 
 def test_paths_and_roots(spark, tmp_path):
