@@ -14,7 +14,8 @@
    other, directly or over others, form a group, and in each group that still holds several components, blocks of
    documents are compared as sparse matrices of their shingles: a pair of blocks gives the full intersections of
    all their pairs at once and passes on a spanning forest of the links between components. Blocks are filled
-   in the order of components, and two blocks of one and the same component are not compared.
+   in the order of components. Two blocks are compared only if they share a band key, so candidates that hang
+   together over long chains cost what they share, and not if both are of one and the same component.
 
 A pivot is passed over only where the sizes alone exclude the similarity, or where the sketches agree in fewer
 bits than those of a similar pair do with a probability over 1e-8; the comparison in blocks passes nothing over.
@@ -175,7 +176,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words_per_shingle: int, percent:
 
 #: Documents, and shingles, of a block at most; columns of a matrix.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1 << 18, 8192
-BLOCKS = "grp long, low long, high long, ids binary, roots binary, sizes binary, sets binary"
+BLOCKS = "low long, high long, members array<long>, ids binary, roots binary, sizes binary, sets binary"
 
 
 def _blocks(words_per_shingle: int):
@@ -184,10 +185,10 @@ def _blocks(words_per_shingle: int):
         ids, roots = (np.array([h[i] for h in held], dtype="<i8") for i in (1, 2))
         sizes = np.array([len(h[3]) for h in held], dtype="<i8")
         packed = [x.tobytes() for x in (ids, roots, sizes, np.concatenate([h[3] for h in held]).astype("<u8"))]
-        return (held[0][0], int(roots.min()), int(roots.max()), *packed)
+        return (int(roots.min()), int(roots.max()), ids.tolist(), *packed)
 
     def batch_of(rows):
-        kinds = (pa.int64(),) * 3 + (pa.binary(),) * 4
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64())) + (pa.binary(),) * 4
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     def run(batches):
@@ -257,19 +258,20 @@ def _compared(percent: int):
     return run
 
 
-def links_between(members: DataFrame, texts: DataFrame, words_per_shingle: int, percent: int, staging: Staging) -> DataFrame:
+def links_between(members: DataFrame, texts: DataFrame, buckets: DataFrame, words_per_shingle: int, percent: int, staging: Staging) -> DataFrame:
     """Links (a, b) between the components (root) within each group of ``members`` (grp, doc_id, root): enough of them to connect
-    whatever is linked."""
+    whatever is linked among documents that share a band key of ``buckets`` (key, doc_id)."""
     order = ["grp", "root", "doc_id"]
     # a large group is dealt over several tasks by ranges of its components
     rows = members.join(texts, "doc_id").select(*order, "text").repartitionByRange(*order).sortWithinPartitions(*order)
     # numbered, not named by content: blocks of repeated rows hold the same
     blocks = staging.write(lambda: rows.mapInArrow(trimmed(_blocks(words_per_shingle)), BLOCKS).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    names = blocks.select("grp", "block", "low", "high")
-    other = names.select("grp", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-    met = names.join(other, "grp").where("block <= block_b and not (low = high and low_b = high_b and low = low_b)").select("grp", "block", "block_b")
-    sides = met.select("grp", F.struct("grp", "block", "block_b").alias("pair"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
-    pairs = sides.join(blocks.select("grp", "block", "ids", "roots", "sizes", "sets"), ["grp", "block"])
+    seats = blocks.select("block", "low", "high", F.explode("members").alias("doc_id"))
+    keyed = staging.write(buckets.join(seats, "doc_id").select("key", "block", "low", "high").distinct(), "keys-of-blocks")
+    other = keyed.select("key", F.col("block").alias("block_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+    met = keyed.join(other, "key").where("block <= block_b and not (low = high and low_b = high_b and low = low_b)").select("block", "block_b").distinct()
+    sides = met.select(F.struct("block", "block_b").alias("pair"), F.explode(F.array_distinct(F.array("block", "block_b"))).alias("block"))
+    pairs = sides.join(blocks.select("block", "ids", "roots", "sizes", "sets"), "block")
     together = pairs.select(F.to_json("pair").alias("pair"), "ids", "roots", "sizes", "sets").repartition("pair").sortWithinPartitions("pair")
     return together.mapInArrow(trimmed(_compared(percent)), "a long, b long")
 
@@ -281,9 +283,14 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = staging.write(signatures(docs, words_per_shingle), "signatures")
     nodes = rows.where("doc_id is not null and n_shingles > 0")
-    classes = nodes.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"))
-    members_of_classes = staging.write(rows.join(classes, ["n_shingles", "d0", "d1"], "left").select("doc_id", "n_shingles", "rep", "s0", "s1", "keys"), "members")
-    staging.drop("signatures")
+    classes = nodes.groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    # written first: adaptive execution splits a hot key, such as that of many copies, in a join of plain tables only
+    classes = staging.write(classes.where("n > 1").drop("n"), "classes")
+    columns = ["doc_id", "n_shingles", "rep", "s0", "s1", "keys"]
+    several = rows.where("n_shingles > 0").join(classes, ["n_shingles", "d0", "d1"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    without = rows.where("n_shingles = 0").withColumn("rep", F.lit(None).cast("long"))
+    members_of_classes = staging.write(several.select(*columns).unionAll(without.select(*columns)), "members")
+    staging.drop("signatures", "classes")
     reps = members_of_classes.where("doc_id = rep").select("doc_id", "n_shingles", "s0", "s1", "keys").dropDuplicates(["doc_id", "n_shingles", "s0", "s1"])
     reps = staging.write(reps, "representatives")
     bands = reps.select("doc_id", F.explode("keys").alias("key"))
@@ -316,9 +323,9 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     placed = nodes.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "grp", F.coalesce("root", "doc_id").alias("root"))
     several = placed.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select("grp")
     members = staging.write(placed.join(several, "grp"), "members-of-groups")
-    links = staging.write(lambda: links.unionAll(links_between(members, texts, words_per_shingle, percent, staging)), "links-2")
+    links = staging.write(lambda: links.unionAll(links_between(members, texts, buckets, words_per_shingle, percent, staging)), "links-2")
     roots = staging.write(connected_components(links, staging, "second"), "roots-2")
-    staging.drop("buckets", "stars", "texts", "blocks", "groups", "members-of-groups", "links-1", "links-2", "roots-1")
+    staging.drop("buckets", "stars", "texts", "blocks", "keys-of-blocks", "groups", "members-of-groups", "links-1", "links-2", "roots-1")
     staging.release()
     joined = members_of_classes.select("doc_id", "n_shingles", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))

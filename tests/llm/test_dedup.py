@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import components, embeddings, minhash, substring, words
 from palimpsest.llm.staging import Staging
@@ -75,12 +76,28 @@ def test_blocks_of_repeated_rows(spark):
     members = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], "grp long, doc_id long, root long")
     texts = spark.createDataFrame([(i, t) for i, t in text.items()] * (2 * minhash.BLOCK), "doc_id long, text string")
     staging = Staging(spark, "test")
-    links = minhash.links_between(members, texts, 4, 80, staging).collect()
+    buckets = spark.createDataFrame([(7, 1), (7, 2)], "key long, doc_id long")
+    links = minhash.links_between(members, texts, buckets, 4, 80, staging).collect()
     blocks = staging.read("blocks")
     assert blocks.count() == blocks.select("block").distinct().count() == 4
     assert {frozenset(r) for r in links} == {frozenset((1, 2))} and len(links) == 4
 
 
+def test_blocks_without_a_shared_key(spark):
+    """Blocks that share no band key are not compared; others are, however they hang together."""
+    text = {i: " ".join(f"{'abc'[i // 4]}{k}" for k in range(40 + i % 4)) for i in range(12)}
+    members = spark.createDataFrame([(0, i, i) for i in text], "grp long, doc_id long, root long")
+    texts = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    buckets = spark.createDataFrame([(i // 4, i) for i in text], "key long, doc_id long")
+    before, minhash.BLOCK = minhash.BLOCK, 2
+    try:
+        links = minhash.links_between(members, texts, buckets, 4, 80, Staging(spark, "test")).collect()
+    finally:
+        minhash.BLOCK = before
+    want = roots(text, [(a, b) for a in text for b in text if a // 4 == b // 4])
+    assert roots(text, [tuple(r) for r in links]) == want
+
+
 def plain_super_min_hash(elements, places):
     """The definition: every element visits all places in the order of its permutation."""
     out = np.full(places, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -206,5 +223,13 @@ def test_embeddings(spark, monkeypatch):
             assert (r["n_links"], r["component_id"], r["kept"]) == (0, None, True)
         else:
             assert (r["n_links"], r["component_id"], r["kept"]) == (n.get(r["vec_id"], 0), want[r["vec_id"]], want[r["vec_id"]] == r["vec_id"])
+    clash = df.withColumns({c: F.lit(c) for c in ("v", "h1", "h2", "rep", "mult", "home", "near", "cell", "salt", "links", "node", "root", "label")})
+    assert sorted(map(str, embeddings.near_vectors(clash).collect())) == sorted(map(str, out))
     assert embeddings.recall(embeddings.near_vectors(df, margin=0.3), df.where("vec_id is not null")) >= 0.9
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [[1e200, 1e200], [1e200, 1.1e200], [1e200, -1e200], [1e-200, 1e-200], [3e-320, 3e-320], [1e-200, -1e-200], [1.0, 1.0]]
+    out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
+    assert out == {0: (4, 0), 1: (4, 0), 3: (4, 0), 4: (4, 0), 6: (4, 0), 2: (1, 2), 5: (1, 2)}
