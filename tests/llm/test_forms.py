@@ -129,6 +129,22 @@ def test_media_digests(spark, odd, empty):
     assert matroska.media_digests(matroska.media_of_documents(empty)).count() == 0
 
 
+def test_packets_of_malformed_files(spark, sample):
+    media = matroska.media_of_documents(sample.limit(20)).select("doc_id", "media").collect()
+    rng = random.Random(8)
+    rows = []
+    for r in media:
+        raw = bytearray(r["media"])
+        for _ in range(20):
+            raw[rng.randrange(min(len(raw), 400))] = rng.randrange(256)
+        rows += [(r["doc_id"], r["media"]), (-1 - r["doc_id"], raw), (None, raw[: rng.randrange(len(raw))])]
+    rows += [(1 << 40, None), (1 << 41, bytearray())]
+    out = matroska.packet_table(spark.createDataFrame(rows, "doc_id long, media binary")).collect()
+    whole = {r["doc_id"] for r in media}
+    assert whole <= {r["doc_id"] for r in out} and not any(r["error"] for r in out if r["doc_id"] in whole)
+    assert any(r["error"] and r["track"] is None for r in out) and {1 << 40, 1 << 41}.isdisjoint({r["doc_id"] for r in out})
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     dictionaries = langid.fit_dictionaries(docs.where(~langid.held_out()).select("lang", "text"))
