@@ -319,6 +319,49 @@ def vector_cost(spark, sf_dir):
     return similarity.vector_cost(pairs, ["label"], "a", "b").select("vec_id", F.round("vector_cost", 6).alias("vector_cost"))
 
 
+#: Columns of the first layer's weights and rows of the second's, in the models below.
+INTO, OUT = 5, 3
+
+
+def _layers(spark, sf_dir, reverse: bool) -> DataFrame:
+    """A model of two layers with a unit for each nation, in order of their keys or in the reverse order."""
+    key = F.col("n_nationkey").cast("long")
+    unit = F.struct(
+        (-key if reverse else key).alias("place"),
+        F.array(*(((key + 1) * ((7 * j + 3) * (j + 1)) % 101 - 50).cast("float") for j in range(INTO))).alias("rows"),
+        key.cast("float").alias("bias"),
+        F.array(*(((key + 1) * (j + 2) % 13 - 6).cast("float") for j in range(OUT))).alias("columns"),
+    )
+    units = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(unit)).alias("units"), F.count(F.lit(1)).alias("n"))
+    column = lambda j: F.transform("units", lambda u: u["columns"][j])
+    columns = F.flatten(F.array(*(column(j) for j in range(OUT))))
+    parts = [("fc1.weight", F.flatten(F.transform("units", lambda u: u["rows"])), ["n", F.lit(INTO).cast("long")]), ("fc1.bias", F.transform("units", lambda u: u["bias"]), ["n"]), ("fc2.weight", columns, [F.lit(OUT).cast("long"), "n"])]
+    rows = units.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), values.alias("v"), F.array(*shape).alias("shape")) for name, values, shape in parts))).alias("t")).select("t.*")
+    made = alignment.vectors_as_tensors(rows, "name", "v").drop("shape")
+    return made.join(rows.select("name", "shape"), "name").select("name", "dtype", "shape", "data")
+
+
+@query("""SELECT 'perm_group_0_fc1' AS group_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS pos, count(*) OVER () - row_number() OVER (ORDER BY n_nationkey) AS src, true AS alignable, CAST(1.0 AS DOUBLE) AS confidence, CAST(3 AS BIGINT) AS n_deltas, CAST(3 AS BIGINT) AS n_restored FROM nation""")
+def align_models(spark, sf_dir):
+    """A model against one whose units stand in reverse order: groups, permutation, deltas, and the model back from them."""
+    base, target = (_layers(spark, sf_dir, reverse) for reverse in (True, False))
+    entries, perms, facts = alignment.align_and_diff(base, target)
+    entries = graph.checkpointed(entries)
+    same = alignment.restored(entries, base, perms).join(target.select("name", F.col("data").alias("want")), "name").where("data = want").count()
+    stats = alignment.statistics(entries, facts)
+    rows = [(f["group_id"], pos, src, f["alignable"], round(f["confidence"], 4), stats["num_deltas"], same) for f in facts for pos, src in enumerate(perms["fc1.weight"][0])]
+    return spark.createDataFrame(rows, "group_id string, pos long, src long, alignable boolean, confidence double, n_deltas long, n_restored long")
+
+
+@query(f"""WITH u AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS n FROM nation)
+SELECT 'fc1.weight' AS name, i * {INTO} + j AS pos, CAST((k + 1) * ((7 * j + 3) * (j + 1)) % 101 - 50 AS DOUBLE) AS value FROM u, range({INTO}) r(j)
+UNION ALL SELECT 'fc1.bias', i, CAST(k AS DOUBLE) FROM u UNION ALL SELECT 'fc2.weight', j * n + i, CAST((k + 1) * (j + 2) % 13 - 6 AS DOUBLE) FROM u, range({OUT}) r(j)""")
+def rebasin_models(spark, sf_dir):
+    """A model whose units stand in reverse order, brought into the order of the other."""
+    moved, _ = alignment.rebasin(_layers(spark, sf_dir, False), _layers(spark, sf_dir, True))
+    return alignment.tensor_values(moved)
+
+
 @query("""WITH x AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
 SELECT label, i AS target, n - 1 - i AS base FROM x""")
 def assignment_planted(spark, sf_dir):
