@@ -172,13 +172,10 @@ UNION SELECT branch, parent FROM reached JOIN edges ON child = node)
 SELECT branch, count(DISTINCT node) AS n_commits, count(DISTINCT sha256(text)) AS n_manifests, count(DISTINCT source) AS n_blobs FROM reached JOIN documents ON doc_id = node GROUP BY 1""")
 def closure_objects(spark, sf_dir):
     """What each branch needs, by type."""
-    repo, out = _history(spark, sf_dir), None
-    for branch in repo.branches():  # a branch for each language
-        if branch != "main":
-            kinds = repo.references([repo.branch_commit(branch)]).agg(*(F.count_if(F.col("type") == k).alias(n) for k, n in (("commit", "n_commits"), ("manifest", "n_manifests"), ("blob", "n_blobs"))))
-            rows = kinds.select(F.lit(branch).alias("branch"), "*")
-            out = rows if out is None else out.unionAll(rows)
-    return out
+    repo = _history(spark, sf_dir)
+    heads = repo.refs().where("name like 'heads/%' and name <> 'heads/main'").select(F.substring("name", 7, 1000).alias("seed"), F.col("target").alias("node"))
+    kinds = (F.count_if(F.col("type") == k).alias(n) for k, n in (("commit", "n_commits"), ("manifest", "n_manifests"), ("blob", "n_blobs")))
+    return repo.references_of(heads).groupBy(F.col("seed").alias("branch")).agg(*kinds)
 
 
 @query(f"""WITH RECURSIVE {EDGES}, reached AS (SELECT max(doc_id) AS node, 0 AS depth FROM documents UNION SELECT parent, depth + 1 FROM reached JOIN edges ON child = node)

@@ -295,9 +295,13 @@ class Repository:
 
     def references(self, heads: list[str], bases: bool = False) -> DataFrame:
         """hash, type, ord of all that the commits reach. ``bases``: also through the commits that deltas are against."""
-        seeds = self.spark.createDataFrame([(0, h) for h in heads], "seed int, node string")
-        reached = graph.walk(seeds, self._edges(bases)).select(F.col("node").alias("commit_id")).distinct()
-        return self.needed(reached)
+        seeds = self.spark.createDataFrame([("", h) for h in heads], "seed string, node string")
+        return self.references_of(seeds, bases).drop("seed")
+
+    def references_of(self, seeds: DataFrame, bases: bool = False) -> DataFrame:
+        """seed, hash, type, ord of all that each seed's commits (seed, node) reach, in one walk."""
+        reached = graph.walk(seeds, self._edges(bases)).select("seed", F.col("node").alias("commit_id")).distinct()
+        return self.needed(reached, "seed")
 
     def _edges(self, bases: bool) -> DataFrame:
         edges = graph.parent_edges(self.commits())
@@ -306,14 +310,14 @@ class Repository:
         by_base = self.commits().join(self.entries().where("is_delta"), "manifest_hash").select(F.col("commit_id").alias("child"), F.col("base_commit_id").alias("parent")).distinct()
         return edges.unionByName(by_base.withColumn("pos", F.lit(999_999)))
 
-    def needed(self, commits: DataFrame) -> DataFrame:
-        """hash, type, ord of the objects of some commits (commit_id), their own included."""
+    def needed(self, commits: DataFrame, *by: str) -> DataFrame:
+        """hash, type, ord of the objects of some commits (commit_id), their own included; apart for each value of ``by``."""
         own = commits.join(self.commits(), "commit_id", "left")
-        listed = own.select("manifest_hash").join(self.entries(), "manifest_hash")
+        listed = own.select(*by, "manifest_hash").distinct().join(self.entries(), "manifest_hash")
         kinds = [(own, "commit_id", "commit"), (own, "manifest_hash", "manifest"), (listed, "blob_hash", "blob"), (listed, "perm_hash", "permutation"), (listed, "residual_hash", "residual"), (own, "header_hash", "header")]
         out = None
         for order, (rows, column, kind) in enumerate(kinds):
-            rows = rows.select(F.col(column).alias("hash")).where("hash is not null").distinct().withColumns({"type": F.lit(kind), "ord": F.lit(order)})
+            rows = rows.select(*by, F.col(column).alias("hash")).where("hash is not null").distinct().withColumns({"type": F.lit(kind), "ord": F.lit(order)})
             out = rows if out is None else out.unionAll(rows)
         return out
 
