@@ -137,15 +137,15 @@ def test_recovery_cleans_what_crashed_writers_left(spark, tmp_path):
 
 
 def test_long_chains_of_deltas(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(plans, "CHAIN", 2)
+    monkeypatch.setattr(plans, "CHAIN", 1)
     repo = repository(spark, tmp_path / "repo")
-    for k in range(4):
+    for k in range(3):
         last = repo.commit(put(tmp_path / f"m{k}", model(k, ["fc1.weight"]))).commit_id
     assert bytes_of(repo, last, tmp_path / "out") == (tmp_path / f"m{k}").read_bytes()
     file = repo.open(last)
     file.seek(8)
     assert file.read(40) == (tmp_path / f"m{k}").read_bytes()[8:48]
-    assert [r["depth"] for r in repo.log().collect()] == list(range(4))
+    assert [r["depth"] for r in repo.log().collect()] == list(range(3))
 
 
 def test_paths_and_roots(spark, tmp_path):
