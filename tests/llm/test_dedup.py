@@ -217,3 +217,27 @@ def test_embeddings_of_extreme_size(spark):
     rows = [[1e200, 1e200], [1e200, 1.1e200], [1e200, -1e200], [1e-200, 1e-200], [3e-320, 3e-320], [1e-200, -1e-200], [1.0, 1.0]]
     out = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_vectors(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")).collect()}
     assert out == {0: (4, 0), 1: (4, 0), 3: (4, 0), 4: (4, 0), 6: (4, 0), 2: (1, 2), 5: (1, 2)}
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings_without_structure_are_staged_once(spark, monkeypatch, kind):
+    """Also a group of near copies, that is larger than a block, and small blocks and tiles."""
+    staged, write = {}, Staging.write
+
+    def counting(self, df, name, *args, **kwargs):
+        out = write(self, df, name, *args, **kwargs)
+        if name == "blocks":
+            staged[name] = out.agg(F.sum(F.octet_length("reps") / 8)).first()[0]
+        return out
+
+    monkeypatch.setattr(Staging, "write", counting)
+    monkeypatch.setattr(embeddings, "PER_CELL", 200)
+    monkeypatch.setattr(embeddings, "BLOCK", 256)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 24))
+    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 24)) * 0.3, x[7] + rng.normal(size=(400, 24)) * 0.05]).astype("<f4")
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(len(x)), x, strict=True)]
+    n, want = vectors_by_hand(rows, 0.9)
+    out = embeddings.near_vectors(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in out} == {i: (n.get(i, 0), want[i]) for i, _ in rows}
+    assert staged["blocks"] == len(x)
